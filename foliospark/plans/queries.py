@@ -1,0 +1,27 @@
+"""The registered queries of the core, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.functions import text as T
+from foliospark.operators import nested
+from foliospark.sources.tables import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    """Name to query."""
+    return {
+        "doc_stats": lambda s, d: T.doc_stats(read_table(s, d, "documents")),
+        "p6_found": lambda s, d: nested.found(read_table(s, d, "archive_records")),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    """Name to SQL."""
+    return {}
