@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import leakage, mixing, sql, tokens
+from foliospark.llm import leakage, mixing, shared_spans, sql, tokens
 from foliospark.sources.tables import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,9 @@ def queries() -> dict[str, Query]:
         "p8_removal_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: mixing.found(table(s, d, "documents"), table(s, d, "mix_sources")),
         "p9_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_sources")).shares,
+        "p10_found": lambda s, d: shared_spans.found(table(s, d, "documents")),
+        "p10_spans": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).spans(),
+        "p10_coverage": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).coverage(),
         "p9_chosen": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_sources")).chosen,
     }
 
