@@ -76,19 +76,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(windows: Windows, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose window of ``gram`` characters has the smallest hash among ``width`` consecutive places, and the hashes.
+    """The anchor of each stretch of ``width`` consecutive places: the place whose window of ``gram`` characters has the
+    smallest hash there (the first of equal ones); and the hashes at all places.
 
-    Every ``gram + width - 1`` characters that two texts share have an anchor in both, at the same place of them.
+    Equal stretches of two texts, of ``gram + width - 1`` characters, have their anchor at the same place of them.
+    Stretches that reach over the end of a text have an anchor too, which means nothing.
     """
     h = windows.hashes(gram)
-    if not len(h):
-        return np.zeros(0, np.int64), h
     bits = np.uint64(max(1, int(len(h)).bit_length()))
     key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    valid = windows.inside(gram)
-    key[~valid] = np.iinfo(np.uint64).max
-    least = sliding_min(key, width)
-    places = np.unique(least[np.concatenate(([True], least[1:] != least[:-1]))] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) if len(least) else np.zeros(0, np.int64)
-    places = places[places < len(h)]
-    places = places[valid[places]]
-    return places, h[places]
+    return (sliding_min(key, width) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), h

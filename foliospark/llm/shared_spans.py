@@ -1,8 +1,8 @@
 """Long exact spans that different records share.
 
-Two routing steps keep the work near what is really shared, without losing a span of the least length:
-minimum-hash anchors that only one text has rule out the windows over them, and of the windows left only those
-whose hash another text has too are kept. Then fixed-length reference blocks (the first of each run of windows
+Two routing steps keep the work near what is really shared, without losing a span of the least length: a window
+whose minimum-hash anchor no other text has is ruled out, and of the windows left only those whose hash another
+text has too are kept. Then fixed-length reference blocks (the first of each run of windows
 that the same texts share) are indexed, every rolling window probes them, and hits are extended in the texts to
 maximal exact repeats. Exact copies are one text throughout; their records are joined in at the end.
 """
@@ -22,8 +22,8 @@ from foliospark.session import ship_package, stage
 
 #: Least length of a span, in code points.
 LENGTH = 300
-#: Anchors are hashes of this many characters, the least among this many places; any LENGTH characters hold some.
-GRAM, WIDTH = 128, 173
+#: Anchors are hashes of this many characters; each window has one.
+GRAM = 128
 #: Characters hashed at once.
 BATCH_CHARS = 2_000_000
 
@@ -40,13 +40,25 @@ def _groups(texts: pd.Series) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for s in _groups(batch["text"]):
-            part = batch.iloc[s]
-            w = Windows(list(part["text"]))
-            places, keys = anchors(w, GRAM, WIDTH)
-            yield pd.DataFrame({"key": keys.view(np.int64), "text_id": part["text_id"].to_numpy()[w.text_of(places)]})
+def _anchored(part: pd.DataFrame, length: int) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a batch; the places at which a window of ``length`` lies within its text, their anchors' hashes, their texts."""
+    w = Windows(list(part["text"]))
+    places, hashes = anchors(w, GRAM, length - GRAM + 1)
+    at = np.flatnonzero(w.inside(length))
+    return w, at, hashes[places[at]].view(np.int64), w.text_of(at)
+
+
+def _anchor_rows(length: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in _groups(batch["text"]):
+                part = batch.iloc[s]
+                _, _, keys, text = _anchored(part, length)
+                if len(keys):
+                    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
+                    yield pd.DataFrame({"key": keys[new], "text_id": part["text_id"].to_numpy()[text[new]]})
+
+    return run
 
 
 def _window_rows(length: int):
@@ -54,21 +66,13 @@ def _window_rows(length: int):
         for batch in batches:
             for s in _groups(batch["text"]):
                 part = batch.iloc[s]
-                w = Windows(list(part["text"]))
-                places, keys = anchors(w, GRAM, WIDTH)
-                text = w.text_of(places)
-                shared = np.zeros(len(places), bool)
+                w, at, keys, text = _anchored(part, length)
+                shared = np.zeros(len(at), bool)
                 for k, known in enumerate(part["keys"]):
                     own = slice(*np.searchsorted(text, [k, k + 1]))
-                    shared[own] = np.isin(keys[own].view(np.int64), np.asarray(known, np.int64))
-                alone = np.zeros(len(w.codes) + 1, np.int32)
-                alone[places[~shared] + 1] = 1
-                alone = np.cumsum(alone)
-                n = max(0, len(w.codes) - length + 1)
-                live = w.inside(length) & (alone[length - GRAM + 1 : length - GRAM + 1 + n] == alone[:n])
-                at = np.flatnonzero(live)
-                own = w.text_of(at)
-                yield pd.DataFrame({"key": w.at(at, length).view(np.int64), "text_id": part["text_id"].to_numpy()[own], "pos": (at - w.starts[own]).astype(np.int32)})
+                    shared[own] = np.isin(keys[own], np.asarray(known, np.int64))
+                at, text = at[shared], text[shared]
+                yield pd.DataFrame({"key": w.at(at, length).view(np.int64), "text_id": part["text_id"].to_numpy()[text], "pos": (at - w.starts[text]).astype(np.int32)})
 
     return run
 
@@ -117,8 +121,8 @@ class SharedSpans:
     """
 
     def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH):
-        if length < GRAM + WIDTH - 1:
-            raise ValueError(f"the least length is {GRAM + WIDTH - 1}")
+        if length <= GRAM:
+            raise ValueError(f"the least length must be more than {GRAM}")
         ship_package(documents.sparkSession)
         self.length = length
         text = documents[text_col]
@@ -126,7 +130,7 @@ class SharedSpans:
         docs = docs.where((F.length("text") >= length) & F.col("doc_id").isNotNull())
         self.members = docs.select("doc_id", "text_id", "n_chars").distinct()
         many = F.min("text_id") != F.max("text_id")
-        rows = docs.select("text_id", "text").mapInPandas(_anchor_rows, "key bigint, text_id bigint").distinct()
+        rows = docs.select("text_id", "text").mapInPandas(_anchor_rows(length), "key bigint, text_id bigint").distinct()
         rows = stage(rows, "anchors")
         keys = rows.groupBy("key").agg(many.alias("many")).where("many").select("key")
         lists = rows.join(keys, "key").groupBy("text_id").agg(F.collect_set("key").alias("keys"))
