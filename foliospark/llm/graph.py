@@ -15,7 +15,8 @@ class Graph:
     def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, relax: float = 1.15, k: int = 8, seed: int = 1):
         self.x = np.ascontiguousarray(x, np.float32)
         self.n, self.degree, self.beam, self.relax, self.k = len(x), degree, beam, relax, k
-        self.edges = np.full((self.n, degree), -1, np.int32)
+        #: room for half as many edges again, so that pruning runs only now and then
+        self.edges = np.full((self.n, degree + degree // 2), -1, np.int32)
         self.best = np.full((self.n, k), -1, np.int32)
         self.best_sim = np.full((self.n, k), -2.0, np.float32)
         rng = np.random.default_rng(seed)
@@ -24,7 +25,7 @@ class Graph:
         done = min(64, self.n)
         self._all_pairs(order[:done])
         while done < self.n:
-            batch = order[done : done + max(16, min(1024, done // 8))]
+            batch = order[done : done + max(16, min(512, done // 8))]
             self._insert(batch)
             done += len(batch)
 
@@ -36,7 +37,7 @@ class Graph:
         cand = np.broadcast_to(ids, sims.shape)
         order = np.argsort(-sims, axis=1)[:, :-1]
         cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
-        self.edges[ids] = self._prune(cand[:, :48], sims[:, :48])
+        self.edges[ids, : self.degree] = self._prune(cand[:, :48], sims[:, :48])
         self._remember(ids, cand, sims)
 
     def _remember(self, ids: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
@@ -148,11 +149,12 @@ class Graph:
             sims = np.concatenate((sims, np.take_along_axis(inner, near, 1)), 1)
             order = np.argsort(-sims, axis=1)
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        self.edges[batch] = self._prune(ids, sims)
+        edges = self._prune(ids, sims)
+        self.edges[batch, : self.degree] = edges
         self._remember(batch, ids, sims)
         # the other direction: of the edges, and of the neighbours seen
         source = np.repeat(batch, self.degree)
-        target = self.edges[batch].ravel()
+        target = edges.ravel()
         source, target = source[target >= 0], target[target >= 0]
         self._add_back(target, source)
         source = np.repeat(batch, self.k)
@@ -181,7 +183,7 @@ class Graph:
             return
         s = np.einsum("ij,ij->i", self.x[target], self.x[source])
         order, nodes, row, place = self._grouped(target, s)
-        keep = place < self.degree
+        keep = place < self.edges.shape[1]
         wide = int(place[keep].max()) + 1
         cand = np.full((len(nodes), wide), -1, np.int32)
         cand[row[keep], place[keep]] = source[order][keep]
@@ -191,7 +193,7 @@ class Graph:
         fits = need <= free
         f = np.flatnonzero(fits)
         if len(f):  # edges are packed to the left
-            at = (self.degree - free[f])[:, None] + np.arange(wide)[None, :]
+            at = (self.edges.shape[1] - free[f])[:, None] + np.arange(wide)[None, :]
             good = cand[f] >= 0
             rr, cc = np.nonzero(good)
             self.edges[nodes[f[rr]], at[rr, cc]] = cand[f[rr], cc]
@@ -201,4 +203,5 @@ class Graph:
             sims = np.einsum("ikj,ij->ik", self.x[np.maximum(both, 0)], self.x[nodes[o]])
             sims[both < 0] = -2
             by = np.argsort(-sims, axis=1)
-            self.edges[nodes[o]] = self._prune(np.take_along_axis(both, by, 1), np.take_along_axis(sims, by, 1))
+            self.edges[nodes[o]] = -1
+            self.edges[nodes[o], : self.degree] = self._prune(np.take_along_axis(both, by, 1), np.take_along_axis(sims, by, 1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import leakage, mixing, shared_spans, sql, tokens
+from foliospark.llm import leakage, mixing, neighbours, shared_spans, sql, tokens
 from foliospark.sources.tables import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     """Name to query."""
     return {
         "p3_token_budget": lambda s, d: tokens.token_budget(table(s, d, "extraction_results"), table(s, d, "collections")),
+        "p7_found": lambda s, d: neighbours.found(table(s, d, "chunks")),
+        "p7_most_similar": lambda s, d: neighbours.neighbours_of_every_20th(table(s, d, "chunks")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_removal_spans": lambda s, d: leakage.removal_spans(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: mixing.found(table(s, d, "documents"), table(s, d, "mix_sources")),
