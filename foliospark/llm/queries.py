@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import languages, leakage, mixing, neighbours, shared_spans, sql, tokens
+from foliospark.llm import languages, leakage, mixing, mojibake, neighbours, shared_spans, sql, tokens
 from foliospark.sources.tables import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: languages.found(table(s, d, "extraction_results")),
         "p1_segments": lambda s, d: languages.language_segments(table(s, d, "extraction_results")),
         "p3_token_budget": lambda s, d: tokens.token_budget(table(s, d, "extraction_results"), table(s, d, "collections")),
+        "p5_found": lambda s, d: mojibake.found(table(s, d, "extraction_results")),
+        "p5_repaired": lambda s, d: mojibake.Garbled(table(s, d, "extraction_results")).repaired(),
         "p7_found": lambda s, d: neighbours.found(table(s, d, "chunks")),
         "p7_most_similar": lambda s, d: neighbours.neighbours_of_every_20th(table(s, d, "chunks")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
