@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import languages, leakage, mixing, mojibake, neighbours, shared_spans, splitting, sql, tokens
+from foliospark.llm import languages, leakage, mixing, mojibake, neighbours, scans, shared_spans, splitting, sql, tokens
 from foliospark.sources.tables import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: splitting.found(table(s, d, "chunks"), table(s, d, "chunk_configs")),
         "p2_pieces": lambda s, d: splitting.oversized_pieces(table(s, d, "chunks"), table(s, d, "chunk_configs")),
         "p3_token_budget": lambda s, d: tokens.token_budget(table(s, d, "extraction_results"), table(s, d, "collections")),
+        "p4_found": lambda s, d: scans.found(table(s, d, "extraction_results")),
+        "p4_repaired": lambda s, d: scans.Scans(table(s, d, "extraction_results")).repaired(),
         "p5_found": lambda s, d: mojibake.found(table(s, d, "extraction_results")),
         "p5_repaired": lambda s, d: mojibake.Garbled(table(s, d, "extraction_results")).repaired(),
         "p7_found": lambda s, d: neighbours.found(table(s, d, "chunks")),
