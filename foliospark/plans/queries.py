@@ -1,4 +1,4 @@
-"""The registered queries of the core, and their SQL."""
+"""The registered queries of the core."""
 
 from __future__ import annotations
 
@@ -6,22 +6,158 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from foliospark.functions import classify, quality, reduction
 from foliospark.functions import text as T
-from foliospark.operators import nested
+from foliospark.operators import chunking, elements, embeddings, evaluate, geometry, keywords, language, nested, tables
+from foliospark.plans import pipeline
+from foliospark.plans.sql import oracle_sql  # noqa: F401
+from foliospark.sources import html
 from foliospark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "documents")
+
+
+def _texts(s: SparkSession, d: str, **columns) -> DataFrame:
+    """doc_id and expressions over the text of every document."""
+    return _docs(s, d).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
+def _extractions(s: SparkSession, d: str) -> DataFrame:
+    """Extractions, each id once."""
+    e = read_table(s, d, "extraction_results")
+    return e.groupBy("extraction_id").agg(F.max("content").alias("content"), F.max("file_path").alias("file_path"))
+
+
+def _scanned(s: SparkSession, d: str) -> DataFrame:
+    """Text of the scanned lines of each extraction, in reading order."""
+    o = read_table(s, d, "ocr_elements")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("element_id", "text"))), lambda x: x["text"])
+    return o.groupBy("extraction_id").agg(F.array_join(lines, "\n").alias("content"))
+
+
+def _content_of_scanned(s: SparkSession, d: str) -> DataFrame:
+    ids = read_table(s, d, "ocr_elements").select("extraction_id").distinct()
+    return _extractions(s, d).join(ids, "extraction_id", "left_semi")
+
+
+def _tables(s: SparkSession, d: str) -> DataFrame:
+    """The tables of the extractions, one row each."""
+    e = read_table(s, d, "extraction_results").select("extraction_id", F.posexplode("tables").alias("no", "t"))
+    return e.select((F.col("extraction_id") * 100 + F.col("no")).alias("table_id"), F.col("t.cells").alias("cells")).distinct()
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Documents as HTML pages."""
+    t = F.col("text")
+    safe = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p>\n<p>"))
+    page = F.concat(
+        F.lit('<html lang="'), F.coalesce("lang", F.lit("")), F.lit('"><head><title>Document '), F.col("doc_id").cast("string"), F.lit('</title><meta name="description" content="'),
+        F.coalesce("source", F.lit("")), F.lit('"><script>var x = 1;</script></head><body><nav><a href="/home">Home</a></nav><h1>Document</h1><p>'), safe,
+        F.lit('</p><ul><li>one<li>two</ul><p>See <a href="mailto:a@example.org">mail</a> and <a href="#top">top</a></body></html>'),
+    )
+    return _docs(s, d).select("doc_id", page.alias("html"))
+
+
+def _chunk_pages(s: SparkSession, d: str) -> DataFrame:
+    c = read_table(s, d, "chunks").select("chunk_id", F.col("extraction_id").alias("id"), "metadata.byte_start", "metadata.byte_end").distinct()
+    p = elements.document_pages(_extractions(s, d), "extraction_id", "content")
+    return chunking.chunk_pages(c.withColumnRenamed("chunk_id", "chunk_index"), p).withColumnRenamed("chunk_index", "chunk_id").withColumnRenamed("id", "extraction_id")
+
+
+def _element_overlap(s: SparkSession, d: str) -> DataFrame:
+    """How far each scanned line's box overlaps that of the line before on its page."""
+    o = read_table(s, d, "ocr_elements").where("geometry.type = 'rectangle'")
+    g = F.col("geometry")
+    box = F.struct(g["left"].cast("double").alias("x0"), g["top"].cast("double").alias("y0"), (g["left"] + g["width"]).cast("double").alias("x1"), (g["top"] + g["height"]).cast("double").alias("y1"))
+    w = Window.partitionBy("extraction_id", "page_number").orderBy("element_id")
+    rows = o.select("element_id", "extraction_id", "page_number", box.alias("box")).withColumn("before", F.lag("box").over(w)).where("before IS NOT NULL")
+    return rows.select("element_id", F.round(geometry.iou(F.col("box"), F.col("before")), 6).alias("iou"), F.round(geometry.weighted_distance(F.col("box"), F.col("before")), 6).alias("distance"))
+
+
+def _csv_texts(s: SparkSession, d: str) -> DataFrame:
+    """Line items of each order as a CSV text."""
+    li = read_table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    line = F.concat_ws(",", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "day")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda x: x["x"])
+    return li.groupBy("l_orderkey").agg(F.concat(F.lit("number,quantity,price,flag,day\n"), F.array_join(rows, "\n")).alias("text"))
+
+
+def _language_accuracy(s: SparkSession, d: str) -> DataFrame:
+    found = _docs(s, d).where(F.length("text") >= 50).select("lang", language.detect_languages(F.col("text"), 0.8).alias("codes"))
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.size("codes") > 0).cast("int")).alias("n_detected"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
+    t = F.col("text")
+    full = pipeline.ExtractionConfig(language_detection=True, token_reduction="light", keywords=pipeline.KeywordConfig("rake"), chunking=chunking.ChunkConfig())
     return {
-        "doc_stats": lambda s, d: T.doc_stats(read_table(s, d, "documents")),
+        "doc_stats": lambda s, d: T.doc_stats(_docs(s, d)),
+        "text_stats": lambda s, d: _texts(s, d, n_lines=T.line_count(t), n_words=T.word_count(t), n_bytes=F.octet_length(t)),
+        "text_confidence": lambda s, d: _texts(s, d, confidence=F.round(T.text_confidence(t), 6)),
+        "fix_mojibake": lambda s, d: _texts(s, d, fixed=T.fix_mojibake(t)),
+        "normalize_spaces": lambda s, d: _texts(s, d, normal=T.normalize_spaces(t)),
+        "nfc_normalize": lambda s, d: _texts(s, d, normal=T.nfc(t)),
+        "blank_pages": lambda s, d: _texts(s, d, is_blank=T.is_blank_page(t)).where("is_blank"),
+        "char_entropy": lambda s, d: _texts(s, d, entropy=F.round(T.char_entropy(t), 5)),
+        "markdown_links": lambda s, d: _texts(s, d, n_headers=F.size(T.markdown_headers(t)), n_links=F.size(T.markdown_links(t)), n_code=F.size(T.code_blocks(t))).where("n_headers >= 0"),
+        "quality_components": lambda s, d: _texts(
+            s, d, ocr_bytes=quality.ocr_bytes(t), navigation=F.round(quality.navigation_penalty(t), 6), sentences=quality.sentence_count(t), paragraphs=quality.paragraph_count(t), structure=quality.structure_tenths(t)
+        ),
+        "quality_score": lambda s, d: _texts(s, d, score=F.round(quality.quality_score(t), 6)),
+        "clean_text": lambda s, d: _texts(s, d, clean=quality.clean_text(t)),
+        "collapse_punctuation": lambda s, d: _texts(s, d, collapsed=quality.collapse_punctuation(t)),
+        "reduce_light": lambda s, d: _texts(s, d, reduced=reduction.light(t)),
+        "remove_stopwords": lambda s, d: _texts(s, d, reduced=reduction.remove_stopwords(t)),
+        "reduce_moderate": lambda s, d: _texts(s, d, reduced=reduction.reduce_text(t, "moderate")),
+        "reduce_aggressive": lambda s, d: _texts(s, d, reduced=reduction.reduce_text(t, "aggressive")),
+        "reduce_maximum": lambda s, d: _texts(s, d, reduced=reduction.reduce_text(t, "maximum")),
+        "mime_by_extension": lambda s, d: _extractions(s, d).select("extraction_id", classify.mime_of_path(F.col("file_path")).alias("mime")),
+        "chunk_fixed_window": lambda s, d: chunking.fixed_windows(_docs(s, d), "doc_id", "text"),
+        "chunk_semantic": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text"),
+        "chunk_markdown": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text", chunking.ChunkConfig(kind="markdown")),
+        "chunk_json_sections": lambda s, d: chunking.chunk(read_table(s, d, "events"), "event_id", "props", chunking.ChunkConfig(kind="yaml")),
+        "chunk_classify": lambda s, d: read_table(s, d, "chunks").select("chunk_id", classify.chunk_type(F.col("content")).alias("kind")).distinct(),
+        "chunk_page_overlap": _chunk_pages,
+        "document_pages": lambda s, d: elements.document_pages(_extractions(s, d), "extraction_id", "content"),
+        "keywords_rake": lambda s, d: keywords.rake_relational(_docs(s, d), "doc_id", "text"),
+        "keywords_yake": lambda s, d: keywords.keywords(_docs(s, d), "doc_id", "text"),
+        "language_detect": lambda s, d: _texts(s, d, languages=language.detect_languages(t)),
+        "language_accuracy": _language_accuracy,
+        "list_items": lambda s, d: elements.list_items(_docs(s, d), "doc_id", "text"),
+        "elements": lambda s, d: elements.elements(_docs(s, d), "doc_id", "text"),
+        "html_title_meta": lambda s, d: _pages(s, d).select("doc_id", html.title_and_meta(F.col("html")).alias("m")).select("doc_id", "m.*"),
+        "html_links": lambda s, d: _pages(s, d).select("doc_id", F.explode(html.links(F.col("html"))).alias("uri")).select("doc_id", "uri", classify.uri_kind(F.col("uri")).alias("kind")),
+        "html_elements": lambda s, d: html.html_elements(_pages(s, d), "doc_id", "html"),
+        "html_to_markdown": lambda s, d: html.html_pages(_pages(s, d), "doc_id", "html").select("id", "markdown"),
+        "json_text_fields": lambda s, d: read_table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")),
+        "table_markdown": lambda s, d: _tables(s, d).select("table_id", tables.table_markdown(F.col("cells")).alias("markdown")),
+        "table_tsv": lambda s, d: _tables(s, d).select("table_id", tables.table_tsv(F.col("cells")).alias("tsv")),
+        "cell_types": lambda s, d: tables.cell_types(_tables(s, d), "table_id", "cells"),
+        "csv_profile": lambda s, d: tables.csv_profile(_csv_texts(s, d), "l_orderkey", "text"),
+        "embedding_l2_normalize": lambda s, d: read_table(s, d, "embeddings").select(
+            "vec_id", F.round(embeddings.l2_normalize(F.col("embedding"))[0], 5).alias("first"), F.round(embeddings.squared_norm(embeddings.l2_normalize(F.col("embedding"))), 5).alias("norm")
+        ),
+        "embedding_topk": lambda s, d: embeddings.top_k_of_queries(read_table(s, d, "embeddings"), "vec_id", "embedding"),
+        "token_f1": lambda s, d: evaluate.token_f1(_scanned(s, d), _content_of_scanned(s, d), "extraction_id", "content").select(
+            "id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "numeric_f1", "quality")]
+        ),
+        "token_difference": lambda s, d: evaluate.token_difference(_scanned(s, d), _content_of_scanned(s, d), "extraction_id", "content"),
+        "exact_duplicates": lambda s, d: _docs(s, d).where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"),
+        "merge_paragraphs": lambda s, d: geometry.merge_paragraphs(read_table(s, d, "ocr_elements"), "extraction_id", "element_id", "text"),
+        "element_overlap": _element_overlap,
+        "corpus_cube": lambda s, d: _docs(s, d).cube("source", "mime_type").agg(F.grouping_id().alias("level"), F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars")),
+        "pipeline_full": lambda s, d: pipeline.run_pipeline(_docs(s, d), full),
         "p6_found": lambda s, d: nested.found(read_table(s, d, "archive_records")),
+        "p6_variants": lambda s, d: nested.variant_counts(nested.shred(read_table(s, d, "archive_records"))),
+        "p6_results": lambda s, d: nested.shred(read_table(s, d, "archive_records")).results,
+        "p6_entries": lambda s, d: nested.shred(read_table(s, d, "archive_records")).entries,
+        "p6_chunks": lambda s, d: nested.shred(read_table(s, d, "archive_records")).chunks,
+        "p6_tables": lambda s, d: nested.shred(read_table(s, d, "archive_records")).tables,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    """Name to SQL."""
-    return {}

@@ -44,8 +44,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession | None = None) -> None:
     """Make this package importable in the Python workers of every executor (once per application)."""
+    spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
