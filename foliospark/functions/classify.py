@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import trimmed
+from foliospark.functions.text import bound, trimmed
 
 # Signs and words by which a chunk is known.
 MATH = "[∑∫√∂∏≤≥≠→←⊂⊃]"
@@ -53,8 +53,16 @@ def _lines(c: Column) -> Column:
 def chunk_type(content: Column, headings: Column | None = None) -> Column:
     """Kind of a chunk, by the first rule that holds: heading, code_block, table_like, formula, schedule, definitions,
     signature_block, operative_clause, party_list, unknown. ``headings``: the texts of the headings above it. Null stays null."""
-    text = trimmed(content)
-    low, lines, raw = F.lower(text), _lines(text), _lines(content)
+    no_headings = F.array().cast("array<string>")
+    columns = {"content": content, "text": trimmed(content), "headings": no_headings if headings is None else F.coalesce(headings, no_headings)}
+    lines = {"raw": lambda r: _lines(r["content"]), "lines": lambda r: _lines(r["text"]), "low": lambda r: F.lower(r["text"])}
+    inner = lambda r: bound(_kind, **{n: r[n] for n in columns}, **{n: f(r) for n, f in lines.items()})
+    return F.when(content.isNotNull(), bound(inner, **columns))
+
+
+def _kind(r: Column) -> Column:
+    """The rules over content, text (trimmed), low (in lower case), lines, raw (lines of the content) and headings."""
+    content, text, low, lines, raw = (r[n] for n in ("content", "text", "low", "lines", "raw"))
     underline = trimmed(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")))
     heading = text.startswith("#") | underline.rlike("^(=+|-+)$")
     full = F.filter(raw, lambda x: trimmed(x) != "")
@@ -68,8 +76,7 @@ def chunk_type(content: Column, headings: Column | None = None) -> Column:
     for k in SCHEDULE:  # the first mention, followed by a space and a letter or digit
         at = F.instr(low, k)
         schedule = schedule | ((at > 0) & F.substring(low, at + len(k), F.lit(64)).rlike(r"^[ ]\s*[\p{L}\p{N}]"))
-    if headings is not None:
-        schedule = schedule | F.coalesce(F.exists(headings, lambda h: _any(F.lower(h), SCHEDULE)), F.lit(False))
+    schedule = schedule | F.exists(r["headings"], lambda h: _any(F.lower(h), SCHEDULE))
     rows = F.filter(F.transform(lines, trimmed), lambda x: x != "")
 
     def party(x: Column) -> Column:
@@ -77,7 +84,7 @@ def chunk_type(content: Column, headings: Column | None = None) -> Column:
 
     parties = (F.size(rows) >= 3) & (F.size(F.filter(rows, party)) >= F.greatest(F.floor(F.size(rows) * 2 / 3), F.lit(2)))
     return (
-        F.when(content.isNull(), None).when(heading, "heading").when(code, "code_block").when(table, "table_like").when(formula, "formula").when(schedule, "schedule")
+        F.when(heading, "heading").when(code, "code_block").when(table, "table_like").when(formula, "formula").when(schedule, "schedule")
         .when(_any(low, DEFINITION), "definitions").when(_hits(low, SIGNATURE) >= 2, "signature_block").when(_hits(low, OPERATIVE) >= 3, "operative_clause")
         .when(parties, "party_list").otherwise("unknown")
     )

@@ -6,7 +6,7 @@ All functions give null for null and treat the empty text as stated; none runs P
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,11 @@ from foliospark.session import ship_package
 BLANK = r"[ \t\n\r\f\x0B]"
 
 
+def bound(body: Callable[[Column], Column], **columns: Column) -> Column:
+    """``body`` of a struct of the columns, each of which is evaluated once however often the body uses it."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])), body)[0]
+
+
 def trimmed(c: Column) -> Column:
     """Without ASCII white space at both ends."""
     return F.regexp_replace(F.regexp_replace(c, f"^{BLANK}+", ""), f"{BLANK}+$", "")
@@ -135,11 +140,12 @@ def camel_to_snake(key: Column) -> Column:
 
 def char_entropy(c: Column) -> Column:
     """Entropy of the characters without case, in bits, at most 5; 0 for the empty text."""
-    low = F.lower(c)
-    n = F.length(low)
-    counts = F.transform(F.array_distinct(F.split(low, "")), lambda x: n - F.length(F.replace(low, x, F.lit(""))))
-    bits = F.aggregate(counts, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
-    return F.when(c.isNull(), None).when(F.length(c) == 0, 0.0).otherwise(F.least(F.lit(5.0), bits))
+    def bits(r: Column) -> Column:
+        counts = F.transform(F.array_distinct(F.split(r["low"], "")), lambda x: r["n"] - F.length(F.replace(r["low"], x, F.lit(""))))
+        total = F.aggregate(counts, F.lit(0.0), lambda a, k: a - (k / r["n"]) * F.log2(k / r["n"]))
+        return F.when(r["n"] == 0, 0.0).otherwise(F.least(F.lit(5.0), total))
+
+    return F.when(c.isNotNull(), bound(bits, low=F.lower(c), n=F.length(c)))
 
 
 def doc_stats(df: DataFrame) -> DataFrame:

@@ -6,21 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions.stopwords import SHORT_CODES, STOPWORDS
+from foliospark.functions.text import bound
 
 
 def language_scores(text: Column) -> Column:
     """Array of (score, code), the best first: share of words that are function words of a language, or of a script's letters."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1))
-    rows = []
-    for code, short in SHORT_CODES.items():
-        known = STOPWORDS[short].split()
-        hits = F.size(F.filter(words, lambda w: w.isin(known)))  # noqa: B023
-        rows.append(F.struct((hits / n).alias("score"), F.lit(code).alias("code")))
-    letters = F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
-    for code, block in (("rus", "[Ѐ-ӿ]"), ("zho", "[一-鿿]")):
-        rows.append(F.struct((F.regexp_count(text, F.lit(block)) / letters).alias("score"), F.lit(code).alias("code")))
-    return F.sort_array(F.array(*rows), asc=False)
+    def scores(r: Column) -> Column:
+        n = F.greatest(F.size(r["words"]), F.lit(1))
+        rows = []
+        for code, short in SHORT_CODES.items():
+            known = STOPWORDS[short].split()
+            hits = F.size(F.filter(r["words"], lambda w: w.isin(known)))  # noqa: B023
+            rows.append(F.struct((hits / n).alias("score"), F.lit(code).alias("code")))
+        letters = F.greatest(F.regexp_count(r["text"], F.lit(r"\p{L}")), F.lit(1))
+        for code, block in (("rus", "[Ѐ-ӿ]"), ("zho", "[一-鿿]")):
+            rows.append(F.struct((F.regexp_count(r["text"], F.lit(block)) / letters).alias("score"), F.lit(code).alias("code")))
+        return F.sort_array(F.array(*rows), asc=False)
+
+    return bound(scores, text=text, words=F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
 
 
 def detect_languages(text: Column, min_confidence: float = 0.8, multiple: bool = False, segment: int = 200) -> Column:
@@ -30,9 +33,11 @@ def detect_languages(text: Column, min_confidence: float = 0.8, multiple: bool =
     """
 
     def best(t: Column) -> Column:
-        s = language_scores(t)
-        sure = (s[0]["score"] > 0.02) & (s[0]["score"] / (s[0]["score"] + s[1]["score"]) >= min_confidence - 0.3)
-        return F.when(sure, s[0]["code"])
+        def pick(r: Column) -> Column:
+            first, second = r["s"][0], r["s"][1]
+            return F.when((first["score"] > 0.02) & (first["score"] / (first["score"] + second["score"]) >= min_confidence - 0.3), first["code"])
+
+        return bound(pick, s=language_scores(t))
 
     if not multiple:
         code = best(text)
