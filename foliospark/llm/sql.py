@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
+_WORDS = r"regexp_extract_all(lower(upper(text)), '[\p{L}\p{N}]+')"
+_SOURCE = r"regexp_replace(lower(trim(source)), '[^\p{L}\p{N}]+', '_', 'g')"
+
+
+def _phrases(key: str, table: str) -> str:
+    return f"(SELECT DISTINCT {key}, array_to_string(w[k:k + 11], ' ') AS phrase FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS k FROM (SELECT {key}, {_WORDS} AS w FROM {table})))"
+
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {}
+    return {
+        "p2_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_configs USING (config_id) WHERE length(trim(content, ' ' || chr(9) || chr(13) || chr(10) || chr(12))) > max_characters",
+        "p8_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM {_phrases('doc_id', 'documents')} d JOIN {_phrases('item_id', 'eval_items')} i ON d.phrase = i.phrase",
+        # the outcome is the same under any size that grows with the text
+        "p9_found": f"""SELECT m.source FROM mix_sources m LEFT JOIN (SELECT {_SOURCE} AS source, sum(length(text)) AS n FROM documents GROUP BY 1) s ON m.source = s.source
+ WHERE m.max_repeats * coalesce(s.n, 0) < m.target_share * (SELECT sum(length(text)) FROM documents)""",
+        "p10_found": """WITH t AS (SELECT DISTINCT text, hash(text) AS h FROM documents WHERE length(text) >= 300), w AS (SELECT DISTINCT h, hash(substr(text, k, 300)) AS x FROM (SELECT h, text, unnest(generate_series(1, length(text) - 299)) AS k FROM t)),
+ shared AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1), s AS (SELECT w.* FROM w JOIN shared USING (x)), p AS (SELECT DISTINCT a.h AS g, b.h AS h FROM s a JOIN s b ON a.x = b.x UNION SELECT h, h FROM t),
+ m AS (SELECT DISTINCT doc_id, hash(text) AS h FROM documents WHERE length(text) >= 300)
+ SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM p JOIN m a ON a.h = p.g JOIN m b ON b.h = p.h WHERE a.doc_id <> b.doc_id""",
+    }
