@@ -47,6 +47,11 @@ class Page(HTMLParser):
             self.elements.append((self.kind, self.level, text))
         self.buffer, self.kind, self.level = [], "paragraph", 0
 
+    def _end_cell(self) -> None:
+        if self.cell is not None and self.tables:
+            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag == "html" and a.get("lang"):
@@ -93,8 +98,10 @@ class Page(HTMLParser):
             self._flush()
             self.tables.append([])
         elif tag == "tr" and self.tables:
+            self._end_cell()
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables:
+            self._end_cell()
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.cell = []
@@ -128,10 +135,10 @@ class Page(HTMLParser):
             self._flush()
             if self.lists:
                 self.lists.pop()
-        elif tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        elif tag in ("td", "th"):
+            self._end_cell()
         elif tag == "table" and self.tables:
+            self._end_cell()
             self.elements.append(("table", len(self.tables), "\n".join("\t".join(r) for r in self.tables[-1] if r)))
         elif tag == "a" and self.link is not None:
             if self.link[0]:
@@ -157,8 +164,7 @@ class Page(HTMLParser):
 
     def finish(self) -> Page:
         self.close()
-        if self.cell is not None and self.tables:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
+        self._end_cell()
         self._flush()
         return self
 
@@ -187,10 +193,9 @@ def to_markdown(page: Page) -> str:
             out.append(f"![{text}]()")
         elif kind == "table":
             rows = [r.split("\t") for r in text.split("\n") if r]
-            if rows:
-                width = max(map(len, rows))
-                lines = ["| " + " | ".join(c.replace("|", "\\|") for c in [*r, *[""] * (width - len(r))]) + " |" for r in rows]
-                out.append("\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]))
+            width = max(map(len, rows), default=0)
+            lines = ["| " + " | ".join(c.replace("|", "\\|") for c in [*r, *[""] * (width - len(r))]) + " |" for r in rows]
+            out.append("\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) if lines else "")
         else:
             out.append(text)
     text = ""
