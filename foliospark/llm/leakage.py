@@ -24,8 +24,8 @@ _WORD = r"[\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    """The maximal runs of letters and digits; upper and then lower case, so that forms like ß and SS meet."""
-    return F.regexp_extract_all(F.lower(F.upper(text)), F.lit(_WORD), F.lit(0))
+    """The maximal runs of letters and digits in lower case, ß as ss, which is what its upper case becomes."""
+    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(_WORD), F.lit(0))
 
 
 class WaveletMatrix:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_WORDS = r"regexp_extract_all(lower(upper(text)), '[\p{L}\p{N}]+')"
+_WORDS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 _SOURCE = r"regexp_replace(lower(trim(source)), '[^\p{L}\p{N}]+', '_', 'g')"
 
 
