@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import normalize_whitespace, trimmed, word_count
+from foliospark.functions.text import bound, normalize_whitespace, trimmed, word_count
 
 # Weights, limits and patterns of the score.
 WEIGHTS = {"ocr": 0.3, "script": 0.2, "navigation": 0.1, "structure": 0.2, "metadata": 0.1}
@@ -37,7 +37,8 @@ def _bytes(c: Column, *patterns: str) -> Column:
 
 
 def _share(c: Column, part: Column) -> Column:
-    return F.when(c.isNull(), None).when(F.octet_length(c) == 0, 0.0).otherwise(F.least(F.lit(1.0), part / F.octet_length(c)))
+    ratio = lambda r: F.when(r["n"] == 0, 0.0).otherwise(F.least(F.lit(1.0), r["part"] / r["n"]))
+    return F.when(c.isNotNull(), bound(ratio, n=F.octet_length(c), part=part))
 
 
 def dash_bytes(c: Column) -> Column:
@@ -76,13 +77,17 @@ def paragraph_count(c: Column) -> Column:
 
 def structure_tenths(c: Column) -> Column:
     """Structure bonus in whole tenths: sentence length, paragraph length, several paragraphs, any sentence end."""
-    words = word_count(c)
-    a, b = words / F.greatest(sentence_count(c), F.lit(1)), words / paragraph_count(c)
-    points = (
-        F.when(a.between(10, 30), 3).otherwise(0) + F.when(b.between(50, 300), 3).otherwise(0)
-        + F.when(paragraph_count(c) > 1, 2).otherwise(0) + F.when(c.rlike("[.!?]"), 2).otherwise(0)
-    )
-    return F.when(c.isNull(), None).when(words == 0, 0).otherwise(points)
+
+    def points(r: Column) -> Column:
+        words, paragraphs = r["words"], r["paragraphs"]
+        a, b = words / F.greatest(r["sentences"], F.lit(1)), words / paragraphs
+        total = (
+            F.when(a.between(10, 30), 3).otherwise(0) + F.when(b.between(50, 300), 3).otherwise(0)
+            + F.when(paragraphs > 1, 2).otherwise(0) + F.when(r["ends"], 2).otherwise(0)
+        )
+        return F.when(words == 0, 0).otherwise(total)
+
+    return F.when(c.isNotNull(), bound(points, words=word_count(c), sentences=sentence_count(c), paragraphs=paragraph_count(c), ends=c.rlike("[.!?]")))
 
 
 def metadata_bonus(m: Column) -> Column:

@@ -14,13 +14,13 @@ from foliospark.operators import chunking, elements, embeddings, evaluate, geome
 from foliospark.plans import pipeline
 from foliospark.plans.sql import oracle_sql  # noqa: F401
 from foliospark.sources import html
-from foliospark.sources.tables import read_table
+from foliospark.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return read_table(s, d, "documents")
+    return spread(read_table(s, d, "documents").select("doc_id", "text", "lang", "source", "mime_type", "n_chars"))
 
 
 def _texts(s: SparkSession, d: str, **columns) -> DataFrame:
@@ -123,7 +123,7 @@ def queries() -> dict[str, Query]:
         "chunk_semantic": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text"),
         "chunk_markdown": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text", chunking.ChunkConfig(kind="markdown")),
         "chunk_json_sections": lambda s, d: chunking.chunk(read_table(s, d, "events"), "event_id", "props", chunking.ChunkConfig(kind="yaml")),
-        "chunk_classify": lambda s, d: read_table(s, d, "chunks").select("chunk_id", classify.chunk_type(F.col("content")).alias("kind")).distinct(),
+        "chunk_classify": lambda s, d: spread(read_table(s, d, "chunks").select("chunk_id", "content")).select("chunk_id", classify.chunk_type(F.col("content")).alias("kind")).distinct(),
         "chunk_page_overlap": _chunk_pages,
         "document_pages": lambda s, d: elements.document_pages(_extractions(s, d), "extraction_id", "content"),
         "keywords_rake": lambda s, d: keywords.rake_relational(_docs(s, d), "doc_id", "text"),
