@@ -260,7 +260,9 @@ class Scans:
                             out.append((doc, "word", k + 1, None, w, None, None))
                 yield pd.DataFrame(out, columns=["id", "kind", "line", "next", "a", "b", "soft"]).astype({"next": "Int64"})
 
-        self.lines = stage(self.scans.mapInPandas(run, "id bigint, kind string, line bigint, next bigint, a string, b string, soft boolean"), "lines")
+        # the work is in the kernel: as many tasks as there are shuffle partitions, however few files hold the scans
+        parts = int(self.scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.lines = stage(self.scans.repartition(parts, "id").mapInPandas(run, "id bigint, kind string, line bigint, next bigint, a string, b string, soft boolean"), "lines")
 
     def _candidates(self) -> None:
         """Misread words with their replacements, by the q-gram join and the ranker."""
