@@ -21,7 +21,7 @@ from foliospark.session import ship_package, stage
 
 #: Vectors of the sample that the centres are fitted on (at most twice as many are read), and of one shard.
 SAMPLE, SHARD = 20_000, 24_000
-#: Vectors that one task holds at most; a larger cell of the sample is split further.
+#: Rounds of the fit of the centres.
 _ROUNDS = 8
 
 

@@ -219,7 +219,7 @@ class Scans:
     def __init__(self, df: DataFrame, is_scan: Column | None = None, id_col: str = "extraction_id", content_col: str = "content"):
         spark = df.sparkSession
         ship_package(spark)
-        is_scan = F.coalesce((df["metadata"]["format_type"] if is_scan is None else is_scan) == "ocr", F.lit(False)) if is_scan is None else F.coalesce(is_scan, F.lit(False))
+        is_scan = F.coalesce(df["metadata"]["format_type"] == "ocr" if is_scan is None else is_scan, F.lit(False))
         rows = df.select(df[id_col].alias("id"), df[content_col].alias("content"), is_scan.alias("scan")).where(F.length("content") > 0)
         self.scans = stage(rows.where(F.col("scan") & F.col("id").isNotNull()).select("id", "content").dropDuplicates(["id"]), "scans")
         w = F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}+(?:-\p{L}+)?"), F.lit(0))
@@ -298,7 +298,6 @@ class Scans:
         """Line ends inside a word that has no hyphen there: id, line, next, left, right."""
         joiner = self.models[3]
         b = self.lines.where("kind = 'break'").select("id", "line", "next", F.col("a").alias("left"), F.regexp_extract("b", r"^[\p{L}\p{N}@]+", 0).alias("right"), "soft")
-        b = b.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("compound", F.lower(F.concat_ws("-", "left", "right")))
         b = b.withColumn("tail", F.lower(F.regexp_extract("left", r"[\p{L}\p{N}@]+$", 0))).withColumn("head", F.lower("right"))
         b = b.withColumn("joined", F.concat("tail", "head")).withColumn("compound", F.concat_ws("-", "tail", "head"))
         for c in ("joined", "compound", "tail", "head"):
