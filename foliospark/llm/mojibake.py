@@ -32,6 +32,9 @@ CHAINS |= {f"utf-8>{b}>utf-8>{b}": [("utf-8", b)] * 2 for b in ("cp1252", "latin
 #: A form may be this many times as common as its original before it counts as a word of its own.
 COMMONER = 3
 _TOKEN = r"[A-Za-z]*+[^\x00-\x7F][A-Za-z\x{80}-\x{10FFFF}]*"
+_ASCII_LETTER = regex.compile("[A-Za-z]")
+_MIXED = regex.compile(r"[A-Za-z]\p{Cyrillic}|\p{Cyrillic}[A-Za-z]")
+_LONE_HAN = regex.compile(r"[A-Za-z]\p{Han}(?!\p{Han})|(?<!\p{Han})\p{Han}[A-Za-z]")
 _FIND = regex.compile(r"[A-Za-z]*+[^\x00-\x7F][A-Za-z\u0080-\U0010FFFF]*")
 
 
@@ -110,6 +113,19 @@ def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["token", "word", "chain", "word_records", "weight"])
 
 
+def _plausible(word: str, token: str, chain: str, alphabet: set[str]) -> bool:
+    """Whether a restored word has known characters only and keeps to what words look like.
+
+    ASCII letters are always known. Chance readings of clean accented words, which mix Cyrillic into Latin letters or take
+    ASCII letters for the second byte of a Chinese character, do not count.
+    """
+    if not {c for c in word if c >= "\x80"} <= alphabet or _MIXED.search(word):
+        return False
+    if not chain.startswith("gb18030") or not _ASCII_LETTER.search(word):
+        return True
+    return _ASCII_LETTER.findall(word) == _ASCII_LETTER.findall(token) and not _LONE_HAN.search(word)
+
+
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Restores tokens that no word's form equals character by character, where a chain gives known characters only.
 
@@ -124,8 +140,8 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for chain in CHAINS:
                 word = restore(token, chain)
-                if word and word != token and len(token) > len(word) and not word.isascii() and set(word) <= alphabet:
-                    rows.append((token, word, chain, 0, 1.0 if len(token) - len(word) > 1 or not token.isalpha() else 0.25))
+                if word and word != token and len(token) > len(word) and not word.isascii() and _plausible(word, token, chain, alphabet):
+                    rows.append((token, word, chain, 0, 1.0 if len(token) - len(word) > 1 else _weight(word, token, chain)))
                     break
         yield pd.DataFrame(rows, columns=["token", "word", "chain", "word_records", "weight"])
 

@@ -94,6 +94,15 @@ def test_garbled(spark):
     assert mojibake.found(df.limit(0)).count() == 0
 
 
+def test_garbled_latin_words_that_stand_nowhere_else(spark):
+    clean = [(k, f"“Word{k}” was the title – “Other{k}” and “Third{k}” are wênt wêll, l’été mot—était événement révision créée 不是 完整 ю ю{k} дом") for k in range(5)]
+    rows = [*clean, (100, "ΓÇ£TevbelusaΓÇ¥ was it"), (101, "then mÃªler only"), (102, "“Nothing” mot—étais évènementiel créées ici")]
+    df = spark.createDataFrame(rows, "extraction_id bigint, content string")
+    assert sorted(r[0] for r in mojibake.found(df).collect()) == [100, 101]
+    back = {r["id"]: r["content"] for r in mojibake.Garbled(df).repaired().collect()}
+    assert back == {100: "“Tevbelusa” was it", 101: "then mêler only"}
+
+
 def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
