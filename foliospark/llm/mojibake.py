@@ -2,7 +2,7 @@
 
 Every distinct word of the corpus that has other than ASCII characters is garbled under all chains of encodings; the
 words of the documents are hash-joined against these forms, and forms whose original is the commoner word count as
-verified. A chain that is verified for a record also restores its words that stand nowhere else in the corpus.
+verified. Words that are themselves garbled forms of known words or characters are no originals. A chain that is verified for a record also restores its words that stand nowhere else in the corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ LOSSY = ["cp1252", "cp1250", "cp1251", "koi8-r", "gb18030", "mac_roman"]
 #: name of each chain to its steps (written in, read in)
 CHAINS: dict[str, list[tuple[str, str]]] = {f"{a}>{b}": [(a, b)] for a, b in [*(("utf-8", b) for b in READ_UTF8), *SINGLE]}
 CHAINS |= {f"utf-8>{b}>utf-8>{b}": [("utf-8", b)] * 2 for b in ("cp1252", "latin-1", "cp850", "mac_roman")}
+#: the chains, those of most steps first
+DEEPEST = sorted(CHAINS, key=lambda c: -len(CHAINS[c]))
 #: A form may be this many times as common as its original before it counts as a word of its own.
 COMMONER = 3
 _TOKEN = r"[A-Za-z]*+[^\x00-\x7F][A-Za-z\x{80}-\x{10FFFF}]*"
@@ -87,9 +89,11 @@ def forms(word: str) -> dict[str, str]:
             out.setdefault(form, chain)
     for written in LOSSY:
         try:
-            out.setdefault(word.encode(written).decode("utf-8", "replace"), "lossy")
+            form = word.encode(written).decode("utf-8", "replace")
         except UnicodeEncodeError:
             continue
+        if "�" in form:  # without it nothing was lost; the form of a garbled word would be the right one
+            out.setdefault(form, "lossy")
     for n in (1, 2, 3):
         out.setdefault("".join([c if c < "\x80" else "�" * min(n, len(c.encode("utf-8"))) for c in word]), "lossy")
     return {f: c for f, c in out.items() if f != word and not f.isascii()}
@@ -126,24 +130,24 @@ def _plausible(word: str, token: str, chain: str, alphabet: set[str]) -> bool:
     return _ASCII_LETTER.findall(word) == _ASCII_LETTER.findall(token) and not _LONE_HAN.search(word)
 
 
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Restores tokens that no word's form equals character by character, where a chain gives known characters only.
+def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens with the shorter words that chains restore them to; known tells whether the characters alone speak for it.
 
-    Tokens with U+FFFD stay without an original.
+    Of the chains that give known characters the one with most steps is named first. Tokens with U+FFFD stay without an original.
     """
     for batch in batches:
         rows = []
         alphabet = set(batch["known"].iloc[0]) if len(batch) else set()
-        for token in batch["token"]:
+        for token, records in zip(batch["token"], batch["records"], strict=True):
             if "�" in token:
-                rows.append((token, None, "lossy", 0, 1.0))
+                rows.append((token, records, None, "lossy", 0, True, 1.0))
                 continue
-            for chain in CHAINS:
+            for chain in DEEPEST:
                 word = restore(token, chain)
-                if word and word != token and len(token) > len(word) and not word.isascii() and _plausible(word, token, chain, alphabet):
-                    rows.append((token, word, chain, 0, 1.0 if len(token) - len(word) > 1 else _weight(word, token, chain)))
-                    break
-        yield pd.DataFrame(rows, columns=["token", "word", "chain", "word_records", "weight"])
+                if word and word != token and len(token) > len(word) and not word.isascii():
+                    weight = 1.0 if len(token) - len(word) > 1 else _weight(word, token, chain)
+                    rows.append((token, records, word, chain, len(rows), _plausible(word, token, chain, alphabet), weight))
+        yield pd.DataFrame(rows, columns=["token", "records", "word", "chain", "turn", "known", "weight"])
 
 
 class Garbled:
@@ -160,14 +164,20 @@ class Garbled:
         #: the distinct words with other than ASCII characters of each record
         self.tokens = stage(self.source.select("id", F.explode(words).alias("token")).distinct(), "tokens")
         vocabulary = stage(self.tokens.groupBy("token").agg(F.count("*").alias("records")), "vocabulary")
-        made = vocabulary.where("records >= 2").mapInPandas(_forms_of, "token string, word string, chain string, word_records bigint, weight double")
-        joined = vocabulary.join(made, "token").where(F.col("word_records") * COMMONER >= F.col("records"))
-        verified = joined.select("token", "word", "chain", "word_records", "weight")
         # characters of the corpus (at most all of Unicode) that several words have
         chars = vocabulary.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "records").groupBy("c").agg(F.sum("records").alias("n"))
         known = chars.where((F.col("n") >= 3) & (F.col("c") >= "\x80") & (F.col("c") != "�")).agg(F.concat_ws("", F.collect_list("c")).alias("known"))
-        rest = vocabulary.join(verified.select("token").distinct(), "token", "left_anti").where((F.length("token") >= 2) | (F.col("token") == "�")).crossJoin(F.broadcast(known))
-        by_char = rest.select("token", "known").mapInPandas(_check, verified.schema)
+        long = vocabulary.where((F.length("token") >= 2) | (F.col("token") == "�")).crossJoin(F.broadcast(known))
+        restored = stage(long.mapInPandas(_restored, "token string, records bigint, word string, chain string, turn int, known boolean, weight double"), "restored")
+        # tokens that are garbled themselves are no originals
+        stands = F.col("known") | (F.col("word_records") * COMMONER >= F.col("records"))
+        seen = restored.join(vocabulary.select(F.col("token").alias("word"), F.col("records").alias("word_records")), "word", "left")
+        garbled = seen.where((F.col("weight") >= 1) & stands).select("token").distinct()
+        made = vocabulary.where("records >= 2").join(garbled, "token", "left_anti").mapInPandas(_forms_of, "token string, word string, chain string, word_records bigint, weight double")
+        joined = vocabulary.join(made, "token").where(F.col("word_records") * COMMONER >= F.col("records"))
+        verified = joined.select("token", "word", "chain", "word_records", "weight")
+        first = restored.where("known").groupBy("token").agg(F.min(F.struct("turn", "word", "chain", "weight")).alias("r")).select("token", "r.word", "r.chain", F.lit(0).cast("bigint"), "r.weight")
+        by_char = first.join(verified.where("weight >= 1").select("token").distinct(), "token", "left_anti")
         #: garbled words with their originals
         self.table = stage(verified.union(by_char), "forms")
 

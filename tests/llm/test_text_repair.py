@@ -103,6 +103,18 @@ def test_garbled_latin_words_that_stand_nowhere_else(spark):
     assert back == {100: "“Tevbelusa” was it", 101: "then mêler only"}
 
 
+def test_garbled_words_are_no_originals(spark):
+    clean = [(k, f"a — b {k} costs € {k}") for k in range(9)] + [(20, "naïf cité"), (21, "naïf cité")]
+    bad = [(100 + k, mojibake.garble("a — b € c", "utf-8>cp1252")) for k in range(3)] + [(110, mojibake.garble("a — b", "utf-8>mac_roman")), (111, mojibake.garble("a € b", "utf-8>latin-1"))]
+    # 20 and 21 are clean, though their words are what a decoding makes of the garbled ones
+    bad += [(120 + k, mojibake.garble("naïf cité", "utf-8>cp1252")) for k in range(3)]
+    df = spark.createDataFrame([*clean, *bad], "extraction_id bigint, content string")
+    op = mojibake.Garbled(df)
+    assert sorted(r[0] for r in op.affected().collect()) == [r[0] for r in bad]
+    assert {r["id"]: r["content"] for r in op.repaired().where("id IN (110, 111)").collect()} == {110: "a — b", 111: "a € b"}
+    assert all("�" in f for f, c in mojibake.forms("Ã©").items() if c == "lossy")
+
+
 def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
