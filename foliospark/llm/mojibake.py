@@ -7,6 +7,7 @@ verified. Words that are themselves garbled forms of known words or characters a
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -108,13 +109,37 @@ def _weight(word: str, form: str, chain: str) -> float:
     return 0.5 if len(word) > 3 else 0.1
 
 
+#: Characters of forms that are handed on at once.
+BATCH_CHARS = 4_000_000
+_FORMS = ["token", "word", "chain", "word_records", "weight"]
+
+
+def _rank(word: str, ranks: dict[str, int]) -> float:
+    """How rare the characters of a word are in the corpus: mean logarithm of their places in order of commonness."""
+    places = [math.log(1 + ranks.get(c, len(ranks))) for c in word if c >= "\x80"]
+    return sum(places) / max(1, len(places))
+
+
 def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forms of words; a word of one record counts half, and under single-byte chains only if its characters are commoner than those of the form."""
     for batch in batches:
-        rows = []
+        rows, size = [], 0
+        ranks = {c: k for k, c in enumerate(batch["known"].iloc[0])} if len(batch) else {}
         for word, records in zip(batch["token"], batch["records"], strict=True):
-            if len(word) <= 64 and "�" not in word:
-                rows += [(f, word, c, records, _weight(word, f, c)) for f, c in forms(word).items()]
-        yield pd.DataFrame(rows, columns=["token", "word", "chain", "word_records", "weight"])
+            if "�" in word:
+                continue
+            for form, chain in forms(word).items():
+                weight = _weight(word, form, chain)
+                if records == 1 and chain != "lossy" and len(form) <= len(word):
+                    if _rank(form, ranks) <= _rank(word, ranks):
+                        continue
+                    weight /= 2
+                rows.append((form, word, chain, records, weight))
+                size += len(form) + len(word)
+            if size > BATCH_CHARS:
+                yield pd.DataFrame(rows, columns=_FORMS)
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=_FORMS)
 
 
 def _plausible(word: str, token: str, chain: str, alphabet: set[str]) -> bool:
@@ -166,16 +191,20 @@ class Garbled:
         vocabulary = stage(self.tokens.groupBy("token").agg(F.count("*").alias("records")), "vocabulary")
         # characters of the corpus (at most all of Unicode) that several words have
         chars = vocabulary.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "records").groupBy("c").agg(F.sum("records").alias("n"))
-        known = chars.where((F.col("n") >= 3) & (F.col("c") >= "\x80") & (F.col("c") != "�")).agg(F.concat_ws("", F.collect_list("c")).alias("known"))
+        known = chars.where((F.col("n") >= 3) & (F.col("c") >= "\x80") & (F.col("c") != "�")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "c"))), lambda x: x["c"])).alias("known"))
         long = vocabulary.where((F.length("token") >= 2) | (F.col("token") == "�")).crossJoin(F.broadcast(known))
         restored = stage(long.mapInPandas(_restored, "token string, records bigint, word string, chain string, turn int, known boolean, weight double"), "restored")
         # tokens that are garbled themselves are no originals
         stands = F.col("known") | (F.col("word_records") * COMMONER >= F.col("records"))
         seen = restored.join(vocabulary.select(F.col("token").alias("word"), F.col("records").alias("word_records")), "word", "left")
         garbled = seen.where((F.col("weight") >= 1) & stands).select("token").distinct()
-        made = vocabulary.where("records >= 2").join(garbled, "token", "left_anti").mapInPandas(_forms_of, "token string, word string, chain string, word_records bigint, weight double")
-        joined = vocabulary.join(made, "token").where(F.col("word_records") * COMMONER >= F.col("records"))
-        verified = joined.select("token", "word", "chain", "word_records", "weight")
+        clean = vocabulary.join(garbled, "token", "left_anti").crossJoin(F.broadcast(known))
+        made = clean.mapInPandas(_forms_of, "token string, word string, chain string, word_records bigint, weight double")
+        # long words have long forms: both go through the joins as 64-bit hashes
+        made = made.select(F.xxhash64("token").alias("key"), F.xxhash64("word").alias("word_key"), "chain", "word_records", "weight")
+        keyed = vocabulary.withColumn("key", F.xxhash64("token"))
+        joined = keyed.join(made, "key").where(F.col("word_records") * COMMONER >= F.col("records"))
+        verified = joined.join(keyed.select(F.col("key").alias("word_key"), F.col("token").alias("word")), "word_key").select("token", "word", "chain", "word_records", "weight")
         first = restored.where("known").groupBy("token").agg(F.min(F.struct("turn", "word", "chain", "weight")).alias("r")).select("token", "r.word", "r.chain", F.lit(0).cast("bigint"), "r.weight")
         by_char = first.join(verified.where("weight >= 1").select("token").distinct(), "token", "left_anti")
         #: garbled words with their originals

@@ -115,6 +115,17 @@ def test_garbled_words_are_no_originals(spark):
     assert all("�" in f for f, c in mojibake.forms("Ã©").items() if c == "lossy")
 
 
+def test_forms_of_words_of_one_record(spark):
+    words = ["подписанный", "документ", "проверяли", "перечень", "встречи"]
+    other = "важный отчёт показывает что каждый никто не просил другой до новый список договор таблица страница ключ шум цена щит фильм эхо съезд юг"
+    rows = [(k, other) for k in range(8)] + [(20 + k, w) for k, w in enumerate(words)] + [(40, mojibake.garble(" ".join(words), "koi8-r>cp1251"))]
+    rows += [(50, "слово" * 20 + " end"), (51, mojibake.garble("слово" * 20 + " end", "koi8-r>cp1251"))]
+    op = mojibake.Garbled(spark.createDataFrame(rows, "extraction_id bigint, content string"))
+    assert [r[0] for r in op.affected().collect()] == [40]
+    assert op.repaired().first()["content"] == " ".join(words)
+    assert mojibake.restore(rows[-1][1].split()[0], "koi8-r>cp1251") in {r["word"] for r in op.table.where("word IS NOT NULL").collect()}
+
+
 def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
