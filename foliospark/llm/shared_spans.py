@@ -127,6 +127,10 @@ class SharedSpans:
         self.length = length
         text = documents[text_col]
         docs = documents.select(documents[id_col].alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"), F.length(text).alias("n_chars"))
+        #: every record, those without spans too
+        self.records = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("n_chars", F.lit(0))).alias("n_chars"))
+        #: which records have which text, whatever its length
+        self.holders = docs.where("doc_id IS NOT NULL AND n_chars > 0").select("doc_id", "text_id", "n_chars").distinct()
         docs = docs.where((F.length("text") >= length) & F.col("doc_id").isNotNull())
         self.members = docs.select("doc_id", "text_id", "n_chars").distinct()
         many = F.min("text_id") != F.max("text_id")
@@ -167,14 +171,21 @@ class SharedSpans:
         return across.union(copies).where("x != y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
     def coverage(self) -> DataFrame:
-        """Every record with how much of it stands in other records too: doc_id, n_copies, n_chars, shared_chars, share."""
+        """Every record with how much of it stands in other records too: doc_id, n_copies, n_chars, shared_chars, share.
+
+        Null and empty texts, and texts shorter than a span, share nothing (n_copies counts the records with the same text
+        all the same); share is null where there are no characters.
+        """
         order = Window.partitionBy("text_id").orderBy("pos")
         new = F.least(F.lit(self.length), F.coalesce(F.col("pos") - F.lag("pos").over(order), F.lit(self.length)))
         covered = self.windows.select("text_id", "pos").distinct().withColumn("new", new).groupBy("text_id").agg(F.sum("new").alias("covered"))
-        copies = self.members.groupBy("text_id").agg(F.countDistinct("doc_id").alias("n_copies"))
-        out = self.members.join(copies, "text_id").join(covered, "text_id", "left")
-        shared = F.when(F.col("n_copies") > 1, F.col("n_chars").cast("bigint")).otherwise(F.coalesce("covered", F.lit(0)))
-        return out.select("doc_id", "n_copies", "n_chars", shared.alias("shared_chars"), (shared / F.col("n_chars")).alias("share"))
+        copies = self.holders.groupBy("text_id").agg(F.countDistinct("doc_id").alias("n_copies"))
+        out = self.holders.join(copies, "text_id").join(covered, "text_id", "left")
+        whole = (F.col("n_copies") > 1) & (F.col("n_chars") >= self.length)
+        out = out.withColumn("shared_chars", F.when(whole, F.col("n_chars").cast("bigint")).otherwise(F.coalesce("covered", F.lit(0))))
+        none = self.records.join(out.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).cast("bigint").alias("n_copies"), "n_chars", F.lit(0).cast("bigint").alias("shared_chars"))
+        out = out.select("doc_id", "n_copies", "n_chars", "shared_chars").unionByName(none)
+        return out.withColumn("share", F.col("shared_chars") / F.nullif(F.col("n_chars"), F.lit(0)))
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -92,3 +92,10 @@ def test_spans_against_brute_force(spark, seed):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert shared_spans.found(df).count() == 0
+
+
+def test_coverage_has_every_record(spark):
+    long = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(400))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "short"), (4, "short"), (5, None), (6, ""), (None, long), (3, "short")], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in shared_spans.SharedSpans(df).coverage().collect())
+    assert got == [(1, 2, 400, 400, 1.0), (2, 2, 400, 400, 1.0), (3, 2, 5, 0, 0.0), (4, 2, 5, 0, 0.0), (5, 1, 0, 0, None), (6, 1, 0, 0, None)]
