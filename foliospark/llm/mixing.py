@@ -36,6 +36,22 @@ def sainte_lague(weights: dict, seats: int, limits: dict | None = None) -> dict:
     return out
 
 
+def shard_seats(shards: dict[int, int], seats: int, block: int, max_repeats: int) -> dict[int, int]:
+    """Tokens each shard of a source is to give: the source's blocks by Sainte-Laguë within max_repeats times each shard.
+
+    A shard's limit is rounded down to whole blocks; blocks that no shard can take whole go, in order of the shards, to
+    what is left of max_repeats times their sizes.
+    """
+    got = sainte_lague(shards, seats, {k: n * max_repeats // block for k, n in shards.items()})
+    out = {k: n * block for k, n in got.items()}
+    left = seats * block - sum(out.values())
+    for k in sorted(out):
+        more = min(left, shards[k] * max_repeats - out[k])
+        out[k] += more
+        left -= more
+    return out
+
+
 @dataclass(frozen=True)
 class Mix:
     """shares: one row a source; chosen: one row a chosen document with its repeats."""
@@ -75,6 +91,14 @@ def mix(
     limit = {s: have[s] * (plan[s]["max_repeats"] or 0) // block for s in plan}
     quota = sainte_lague({s: plan[s]["target_share"] or 0.0 for s in plan}, min(blocks, math.ceil(total / block)), limit)
     n_shards = {s: max(1, math.ceil(have[s] / shard_tokens)) for s in plan}
+    planned_shards = spark.createDataFrame([(s, n) for s, n in n_shards.items()], "source string, shards int")
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int")
+    sharded = sizes.where(F.col("n_tokens") > 0).join(planned_shards, "source").withColumn("shard", shard)
+    held: dict[str, dict[int, int]] = {}  # a row a shard, about as many as there are shard_tokens in the input
+    for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():
+        held.setdefault(r["source"], {})[r["shard"]] = r["n"]
+    dealt_to = [(s, k, n) for s, of in held.items() for k, n in shard_seats(of, quota[s], block, plan[s]["max_repeats"] or 0).items()]
+    quotas = spark.createDataFrame(dealt_to, "source string, shard int, shard_quota bigint")
 
     schema = "source string, target_share double, max_repeats int, source_tokens bigint, reachable boolean, quota_tokens bigint, shards int"
     planned = spark.createDataFrame(
@@ -85,13 +109,11 @@ def mix(
         schema,
     )
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = sizes.where(F.col("n_tokens") > 0).join(planned.select("source", "max_repeats", "quota_tokens", "source_tokens", "shards"), "source")
-    dealt = dealt.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int"))
+    dealt = sharded.drop("shards").join(planned.select("source", "max_repeats"), "source").join(quotas, ["source", "shard"]).withColumn("order", order)
     inside = Window.partitionBy("source", "shard")
     running = inside.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dealt = dealt.withColumn("shard_tokens", F.sum("n_tokens").over(inside)).withColumn("upto", F.sum("n_tokens").over(running))
-    # the source's quota goes to its shards in proportion to their tokens; whole tokens, so every shard rounds alike
-    share = F.floor(F.col("quota_tokens") * (F.col("shard_tokens") / F.col("source_tokens")))
+    share = F.col("shard_quota")
     whole = F.least(F.floor(share / F.col("shard_tokens")), F.col("max_repeats").cast("bigint"))
     rest = share - whole * F.col("shard_tokens")
     extra = F.when((whole < F.col("max_repeats")) & (F.col("upto") - F.col("n_tokens") + F.floor(F.col("n_tokens") / 2) < rest), 1).otherwise(0)

@@ -69,3 +69,18 @@ def test_mix(spark):
     assert len({r["doc_id"] for r in chosen}) == len(chosen) and max(r["repeats"] for r in chosen if r["source"] == "small") <= 3 and all(r["repeats"] == 1 for r in chosen if r["source"] == "big_source")
     assert [r[0] for r in mixing.found(d, t).collect()] == ["none"]
     assert mixing.mix(d.limit(0), t).shares.count() == 3
+
+
+def test_blocks_of_shards():
+    assert mixing.shard_seats({0: 53, 1: 24, 2: 23}, 7, 10, 2) == {0: 30, 1: 20, 2: 20}
+    assert mixing.shard_seats({0: 15, 1: 15}, 3, 10, 1) == {0: 15, 1: 15}
+    assert mixing.shard_seats({0: 5}, 9, 10, 1) == {0: 5} and mixing.shard_seats({}, 2, 10, 1) == {}
+
+
+def test_whole_quota_is_dealt_to_shards(spark):
+    d = spark.createDataFrame([(k, "word " * 3, "a") for k in range(400)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    one = mixing.mix(d, t, blocks=400, shard_tokens=10**9, total_tokens=600).shares.first()
+    many = mixing.mix(d, t, blocks=400, shard_tokens=9, total_tokens=600).shares.first()
+    assert one["quota_tokens"] == many["quota_tokens"] and abs(one["used_tokens"] - one["quota_tokens"]) <= 4
+    assert mixing.mix(d, t, blocks=400, shard_tokens=9).chosen.count() == 400
