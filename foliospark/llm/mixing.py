@@ -126,5 +126,5 @@ def mix(
 
 
 def found(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources that cannot reach their share."""
+    """Sources that cannot reach their share, which the sizes alone tell; documents are chosen by ``mix`` (p9_chosen)."""
     return mix(documents, targets).shares.where(~F.col("reachable")).select("source")
