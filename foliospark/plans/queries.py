@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,9 +23,9 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return spread(read_table(s, d, "documents").select("doc_id", "text", "lang", "source", "mime_type", "n_chars"))
 
 
-def _texts(s: SparkSession, d: str, **columns) -> DataFrame:
+def _texts(s: SparkSession, d: str, **columns: Callable[[Column], Column]) -> DataFrame:
     """doc_id and expressions over the text of every document."""
-    return _docs(s, d).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    return _docs(s, d).select("doc_id", *[f(F.col("text")).alias(n) for n, f in columns.items()])
 
 
 def _extractions(s: SparkSession, d: str) -> DataFrame:
@@ -95,29 +95,28 @@ def _language_accuracy(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    t = F.col("text")
     full = pipeline.ExtractionConfig(language_detection=True, token_reduction="light", keywords=pipeline.KeywordConfig("rake"), chunking=chunking.ChunkConfig())
     return {
         "doc_stats": lambda s, d: T.doc_stats(_docs(s, d)),
-        "text_stats": lambda s, d: _texts(s, d, n_lines=T.line_count(t), n_words=T.word_count(t), n_bytes=F.octet_length(t)),
-        "text_confidence": lambda s, d: _texts(s, d, confidence=F.round(T.text_confidence(t), 6)),
-        "fix_mojibake": lambda s, d: _texts(s, d, fixed=T.fix_mojibake(t)),
-        "normalize_spaces": lambda s, d: _texts(s, d, normal=T.normalize_spaces(t)),
-        "nfc_normalize": lambda s, d: _texts(s, d, normal=T.nfc(t)),
-        "blank_pages": lambda s, d: _texts(s, d, is_blank=T.is_blank_page(t)).where("is_blank"),
-        "char_entropy": lambda s, d: _texts(s, d, entropy=F.round(T.char_entropy(t), 5)),
-        "markdown_links": lambda s, d: _texts(s, d, n_headers=F.size(T.markdown_headers(t)), n_links=F.size(T.markdown_links(t)), n_code=F.size(T.code_blocks(t))).where("n_headers >= 0"),
+        "text_stats": lambda s, d: _texts(s, d, n_lines=T.line_count, n_words=T.word_count, n_bytes=F.octet_length),
+        "text_confidence": lambda s, d: _texts(s, d, confidence=lambda t: F.round(T.text_confidence(t), 6)),
+        "fix_mojibake": lambda s, d: _texts(s, d, fixed=T.fix_mojibake),
+        "normalize_spaces": lambda s, d: _texts(s, d, normal=T.normalize_spaces),
+        "nfc_normalize": lambda s, d: _texts(s, d, normal=T.nfc),
+        "blank_pages": lambda s, d: _texts(s, d, is_blank=T.is_blank_page).where("is_blank"),
+        "char_entropy": lambda s, d: _texts(s, d, entropy=lambda t: F.round(T.char_entropy(t), 5)),
+        "markdown_links": lambda s, d: _texts(s, d, n_headers=lambda t: F.size(T.markdown_headers(t)), n_links=lambda t: F.size(T.markdown_links(t)), n_code=lambda t: F.size(T.code_blocks(t))),
         "quality_components": lambda s, d: _texts(
-            s, d, ocr_bytes=quality.ocr_bytes(t), navigation=F.round(quality.navigation_penalty(t), 6), sentences=quality.sentence_count(t), paragraphs=quality.paragraph_count(t), structure=quality.structure_tenths(t)
+            s, d, ocr_bytes=quality.ocr_bytes, navigation=lambda t: F.round(quality.navigation_penalty(t), 6), sentences=quality.sentence_count, paragraphs=quality.paragraph_count, structure=quality.structure_tenths
         ),
-        "quality_score": lambda s, d: _texts(s, d, score=F.round(quality.quality_score(t), 6)),
-        "clean_text": lambda s, d: _texts(s, d, clean=quality.clean_text(t)),
-        "collapse_punctuation": lambda s, d: _texts(s, d, collapsed=quality.collapse_punctuation(t)),
-        "reduce_light": lambda s, d: _texts(s, d, reduced=reduction.light(t)),
-        "remove_stopwords": lambda s, d: _texts(s, d, reduced=reduction.remove_stopwords(t)),
-        "reduce_moderate": lambda s, d: _texts(s, d, reduced=reduction.reduce_text(t, "moderate")),
-        "reduce_aggressive": lambda s, d: _texts(s, d, reduced=reduction.reduce_text(t, "aggressive")),
-        "reduce_maximum": lambda s, d: _texts(s, d, reduced=reduction.reduce_text(t, "maximum")),
+        "quality_score": lambda s, d: _texts(s, d, score=lambda t: F.round(quality.quality_score(t), 6)),
+        "clean_text": lambda s, d: _texts(s, d, clean=quality.clean_text),
+        "collapse_punctuation": lambda s, d: _texts(s, d, collapsed=quality.collapse_punctuation),
+        "reduce_light": lambda s, d: _texts(s, d, reduced=reduction.light),
+        "remove_stopwords": lambda s, d: _texts(s, d, reduced=reduction.remove_stopwords),
+        "reduce_moderate": lambda s, d: _texts(s, d, reduced=lambda t: reduction.reduce_text(t, "moderate")),
+        "reduce_aggressive": lambda s, d: _texts(s, d, reduced=lambda t: reduction.reduce_text(t, "aggressive")),
+        "reduce_maximum": lambda s, d: _texts(s, d, reduced=lambda t: reduction.reduce_text(t, "maximum")),
         "mime_by_extension": lambda s, d: _extractions(s, d).select("extraction_id", classify.mime_of_path(F.col("file_path")).alias("mime")),
         "chunk_fixed_window": lambda s, d: chunking.fixed_windows(_docs(s, d), "doc_id", "text"),
         "chunk_semantic": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text"),
@@ -128,7 +127,7 @@ def queries() -> dict[str, Query]:
         "document_pages": lambda s, d: elements.document_pages(_extractions(s, d), "extraction_id", "content"),
         "keywords_rake": lambda s, d: keywords.rake_relational(_docs(s, d), "doc_id", "text"),
         "keywords_yake": lambda s, d: keywords.keywords(_docs(s, d), "doc_id", "text"),
-        "language_detect": lambda s, d: _texts(s, d, languages=language.detect_languages(t)),
+        "language_detect": lambda s, d: _texts(s, d, languages=language.detect_languages),
         "language_accuracy": _language_accuracy,
         "list_items": lambda s, d: elements.list_items(_docs(s, d), "doc_id", "text"),
         "elements": lambda s, d: elements.elements(_docs(s, d), "doc_id", "text"),
