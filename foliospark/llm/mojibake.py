@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import codepoint2name, name2codepoint
 
 import pandas as pd
 import regex
@@ -30,15 +31,20 @@ LOSSY = ["cp1252", "cp1250", "cp1251", "koi8-r", "gb18030", "mac_roman"]
 #: name of each chain to its steps (written in, read in)
 CHAINS: dict[str, list[tuple[str, str]]] = {f"{a}>{b}": [(a, b)] for a, b in [*(("utf-8", b) for b in READ_UTF8), *SINGLE]}
 CHAINS |= {f"utf-8>{b}>utf-8>{b}": [("utf-8", b)] * 2 for b in ("cp1252", "latin-1", "cp850", "mac_roman")}
+#: chains whose wrong characters then were written as references (of numbers, or of names where there are any): markup that was built from misread bytes
+REFERENCES = {f"utf-8>{b}>{r}": r for b in ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman") for r in ("&#;", "&;")}
+CHAINS |= {c: [("utf-8", c.split(">")[1])] for c in REFERENCES}
 #: the chains, those of most steps first
 DEEPEST = sorted(CHAINS, key=lambda c: -len(CHAINS[c]))
 #: A form may be this many times as common as its original before it counts as a word of its own.
 COMMONER = 3
-_TOKEN = r"[A-Za-z]*+[^\x00-\x7F][A-Za-z\x{80}-\x{10FFFF}]*"
+#: a character reference
+_REFERENCE = r"&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z]{2,8}[0-9]{0,2});"
+_TOKEN = rf"[A-Za-z]*+(?:[^\x00-\x7F]|{_REFERENCE})(?:[A-Za-z\x{{80}}-\x{{10FFFF}}]|{_REFERENCE})*"
 _ASCII_LETTER = regex.compile("[A-Za-z]")
 _MIXED = regex.compile(r"[A-Za-z]\p{Cyrillic}|\p{Cyrillic}[A-Za-z]")
 _LONE_HAN = regex.compile(r"[A-Za-z]\p{Han}(?!\p{Han})|(?<!\p{Han})\p{Han}[A-Za-z]")
-_FIND = regex.compile(r"[A-Za-z]*+[^\x00-\x7F][A-Za-z\u0080-\U0010FFFF]*")
+_FIND = regex.compile(rf"[A-Za-z]*+(?:[^\x00-\x7F]|{_REFERENCE})(?:[A-Za-z\u0080-\U0010FFFF]|{_REFERENCE})*")
 
 
 def _charset(name: str) -> tuple[dict[int, str], dict[str, int]]:
@@ -64,11 +70,31 @@ def garble(text: str, chain: str) -> str | None:
             return None
         chars = _CHARSETS[read][0]
         text = "".join([chars[b] for b in data])
+    if chain in REFERENCES:
+        names = codepoint2name if REFERENCES[chain] == "&;" else {}
+        text = "".join([c if c < "\x80" else f"&{names.get(ord(c)) or f'#{ord(c)}'};" for c in text])
     return text
 
 
+def plain(text: str) -> str:
+    """The text with the characters that its references name; the numbers 128 to 159 are taken as they stand."""
+    return regex.sub(_REFERENCE, _character, text) if "&" in text else text
+
+
+def _character(m) -> str:
+    name = m.group()[1:-1]
+    if name[0] != "#":
+        return chr(name2codepoint[name]) if name in name2codepoint else m.group()
+    number = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+    return chr(number) if number < 0x110000 and not 0xD800 <= number < 0xE000 else m.group()
+
+
 def restore(text: str, chain: str) -> str | None:
     """The text that a chain garbled; None if it cannot have been this chain."""
+    if chain in REFERENCES:
+        if "&" not in text:
+            return None
+        text = plain(text)
     for written, read in reversed(CHAINS[chain]):
         codes = _CHARSETS[read][1]
         try:
@@ -97,13 +123,14 @@ def forms(word: str) -> dict[str, str]:
             out.setdefault(form, "lossy")
     for n in (1, 2, 3):
         out.setdefault("".join([c if c < "\x80" else "�" * min(n, len(c.encode("utf-8"))) for c in word]), "lossy")
-    return {f: c for f, c in out.items() if f != word and not f.isascii()}
+    return {f: c for f, c in out.items() if f != word and (not f.isascii() or "&" in f)}
 
 
 def _weight(word: str, form: str, chain: str) -> float:
     """How far one verified word alone speaks for a garbled record: 1 is enough."""
     if chain == "lossy":  # U+FFFD is what a failed decoding leaves
         return 1.0
+    form = plain(form)
     if len(form) > len(word):  # several bytes a character
         return 1.0 if not form.isalpha() or len(word) > 2 else 0.25
     return 0.5 if len(word) > 3 else 0.1
@@ -130,7 +157,7 @@ def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for form, chain in forms(word).items():
                 weight = _weight(word, form, chain)
-                if records == 1 and chain != "lossy" and len(form) <= len(word):
+                if records == 1 and chain != "lossy" and len(plain(form)) <= len(word):
                     if _rank(form, ranks) <= _rank(word, ranks):
                         continue
                     weight /= 2
@@ -167,18 +194,19 @@ def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "�" in token:
                 rows.append((token, records, None, "lossy", 0, True, 1.0))
                 continue
-            for chain in DEEPEST:
+            seen = plain(token)
+            for chain in DEEPEST if seen == token else REFERENCES:
                 word = restore(token, chain)
-                if word and word != token and len(token) > len(word) and not word.isascii():
-                    weight = 1.0 if len(token) - len(word) > 1 else _weight(word, token, chain)
-                    rows.append((token, records, word, chain, len(rows), _plausible(word, token, chain, alphabet), weight))
+                if word and word != seen and len(seen) > len(word) and not word.isascii():
+                    weight = 1.0 if len(seen) - len(word) > 1 else _weight(word, seen, chain)
+                    rows.append((token, records, word, chain, len(rows), _plausible(word, seen, chain, alphabet), weight))
         yield pd.DataFrame(rows, columns=["token", "records", "word", "chain", "turn", "known", "weight"])
 
 
 class Garbled:
     """The operator over one table of records.
 
-    Null and ASCII-only contents are never affected. Null ids are ignored, repeated rows count once, other columns are
+    Null contents, and those of ASCII characters without character references, are never affected. Null ids are ignored, repeated rows count once, other columns are
     ignored. An empty table gives empty results.
     """
 

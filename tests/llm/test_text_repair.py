@@ -103,6 +103,14 @@ def test_garbled_latin_words_that_stand_nowhere_else(spark):
     assert back == {100: "“Tevbelusa” was it", 101: "then mêler only"}
 
 
+def test_garbled_text_in_character_references(spark):
+    clean = [(k, f"Der geprüfte Ausdruck Nr. {k} – schéma récent") for k in range(6)] + [(20, "Der gepr&#252;fte &amp; R&D &copy; &lt;b&gt; AT&T; &nosuch; &#1114112; &#55300;")]
+    rows = [*clean, (100, "Der gepr&#195;&#188;fte Ausdruck"), (101, "le sch&Atilde;&copy;ma"), (102, "ein m&#xC3;&#xBC;der Fall")]
+    op = mojibake.Garbled(spark.createDataFrame(rows, "extraction_id bigint, content string"))
+    assert sorted(r[0] for r in op.affected().collect()) == [100, 101, 102]
+    assert {r["id"]: r["content"] for r in op.repaired().collect()} == {100: "Der geprüfte Ausdruck", 101: "le schéma", 102: "ein müder Fall"}
+
+
 def test_garbled_words_are_no_originals(spark):
     clean = [(k, f"a — b {k} costs € {k}") for k in range(9)] + [(20, "naïf cité"), (21, "naïf cité")]
     bad = [(100 + k, mojibake.garble("a — b € c", "utf-8>cp1252")) for k in range(3)] + [(110, mojibake.garble("a — b", "utf-8>mac_roman")), (111, mojibake.garble("a € b", "utf-8>latin-1"))]
