@@ -167,7 +167,7 @@ def language_segments(df: DataFrame, id_col: str = "extraction_id", content_col:
     Columns: id, n_chars, label (the language its label names, or null), segment_no, char_start, char_end, lang,
     confidence, sentences, chars, main (the record's main language, which has the most characters), counts (main, or a
     run of at least two sentences and 60 characters). Null and blank contents, and those without letters, have no
-    segments; a null id is kept; repeated rows give repeated segments; other columns are ignored.
+    segments; a null id is kept; repeated rows count once; other columns are ignored.
     """
     ship_package(df.sparkSession)
     label = df["metadata"]["language"] if label is None else label
@@ -191,7 +191,7 @@ def language_segments(df: DataFrame, id_col: str = "extraction_id", content_col:
                 yield out[["id", "label", "n_chars", "segment_no", "char_start", "char_end", "lang", "confidence", "sentences", "chars", "main", "counts"]]
 
     schema = "id bigint, label string, n_chars bigint, segment_no bigint, char_start bigint, char_end bigint, lang string, confidence double, sentences bigint, chars bigint, main boolean, counts boolean"
-    return source.mapInPandas(run, schema)
+    return source.mapInPandas(run, schema).distinct()  # of the segments, so that no text is shuffled
 
 
 def record_languages(df: DataFrame, model: ByteCnn | None = None) -> DataFrame:

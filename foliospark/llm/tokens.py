@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, labels
@@ -19,11 +20,13 @@ MISSING = "(missing)"
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Column:
-    """Number of tokens of ``text``; null for null, 0 for the empty text. The vocabulary file must be readable on every executor."""
+    """Number of tokens of ``text``; null for null, 0 for the empty text. The vocabulary file of the driver is sent to every executor."""
+    SparkSession.active().sparkContext.addFile(vocabulary)
+    name = vocabulary.rstrip("/").rpartition("/")[2]
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = bpe.load(vocabulary, pattern)
+        counter = bpe.load(SparkFiles.get(name), pattern)
         for batch in batches:
             yield pd.Series([None if t is None else counter.count(t) for t in batch], dtype="Int64")
 
