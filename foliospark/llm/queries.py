@@ -33,6 +33,8 @@ def queries() -> dict[str, Query]:
         "p10_found": lambda s, d: shared_spans.found(table(s, d, "documents")),
         "p10_spans": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).spans(),
         "p10_coverage": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).coverage(),
+        "p9_blocks": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_sources")).blocks,
+        "p9_planned_characters": lambda s, d: mixing.planned_in_characters(table(s, d, "documents"), table(s, d, "mix_sources")),
         "p9_chosen": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_sources")).chosen,
     }
 

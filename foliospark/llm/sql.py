@@ -18,6 +18,12 @@ def oracle_sql() -> dict[str, str]:
         # the outcome is the same under any size that grows with the text
         "p9_found": f"""SELECT m.source FROM mix_sources m LEFT JOIN (SELECT {_SOURCE} AS source, sum(length(text)) AS n FROM documents GROUP BY 1) s ON m.source = s.source
  WHERE m.max_repeats * coalesce(s.n, 0) < m.target_share * (SELECT sum(length(text)) FROM documents)""",
+        "p9_planned_characters": f"""WITH d AS (SELECT {_SOURCE} AS source, coalesce(length(text), 0) AS n FROM (SELECT DISTINCT doc_id, text, source FROM documents)),
+ b AS (SELECT sum(n) AS total, CAST(ceil(sum(n) / 10000.0) AS BIGINT) AS block FROM d), seats AS (SELECT CAST(ceil(total / block::DOUBLE) AS BIGINT) AS k, block, total FROM b),
+ s AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(x.n, 0) AS n FROM mix_sources m LEFT JOIN (SELECT source, sum(n) AS n FROM d GROUP BY 1) x USING (source)),
+ q AS (SELECT source, CASE WHEN j = 0 THEN target_share ELSE target_share / (2 * j + 1) END AS quotient FROM (SELECT source, target_share, unnest(generate_series(0, CAST(least(k, n * max_repeats // block) AS BIGINT) - 1)) AS j FROM s, seats WHERE target_share > 0)),
+ won AS (SELECT source, count(*) AS seats FROM (SELECT source, row_number() OVER (ORDER BY quotient DESC, source) AS place FROM q) WHERE place <= (SELECT k FROM seats) GROUP BY 1)
+ SELECT s.source, CAST(s.n AS BIGINT) AS n_chars, CAST(coalesce(won.seats, 0) * block AS BIGINT) AS quota_chars, s.n * s.max_repeats >= s.target_share * total AS reachable FROM s LEFT JOIN won USING (source), seats""",
         "p10_found": """WITH t AS (SELECT DISTINCT text, hash(text) AS h FROM documents WHERE length(text) >= 300), w AS (SELECT DISTINCT h, hash(substr(text, k, 300)) AS x FROM (SELECT h, text, unnest(generate_series(1, length(text) - 299)) AS k FROM t)),
  shared AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1), s AS (SELECT w.* FROM w JOIN shared USING (x)), p AS (SELECT DISTINCT a.h AS g, b.h AS h FROM s a JOIN s b ON a.x = b.x UNION SELECT h, h FROM t),
  m AS (SELECT DISTINCT doc_id, hash(text) AS h FROM documents WHERE length(text) >= 300)

@@ -1,4 +1,5 @@
 import base64
+import random
 from pathlib import Path
 
 import tiktoken
@@ -84,3 +85,30 @@ def test_whole_quota_is_dealt_to_shards(spark):
     many = mixing.mix(d, t, blocks=400, shard_tokens=9, total_tokens=600).shares.first()
     assert one["quota_tokens"] == many["quota_tokens"] and abs(one["used_tokens"] - one["quota_tokens"]) <= 4
     assert mixing.mix(d, t, blocks=400, shard_tokens=9).chosen.count() == 400
+
+
+def test_quotas_and_blocks(spark):
+    d = spark.createDataFrame([(k, "word " * (k % 7), "a" if k % 4 else "b") for k in range(600)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(d, t, blocks=60, shard_tokens=150, size=F.length("text"))
+    shares = {r["source"]: r for r in m.shares.collect()}
+    quotas = m.quotas.groupBy("source").agg(F.sum("shard_quota").alias("q"), F.count("*").alias("n")).collect()
+    assert len(quotas) == 2 and all(r["q"] == shares[r["source"]]["quota_tokens"] and r["n"] > 1 for r in quotas)
+    blocks = m.blocks.collect()
+    assert {r["source"]: r["n"] for r in m.blocks.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n")).collect()} == {s: r["used_tokens"] for s, r in shares.items()}
+    assert all(r["repeats"] <= (1 if r["source"] == "a" else 3) for r in blocks) and sum(r["n_documents"] for r in blocks) == m.chosen.count()
+    again = mixing.mix(d.repartition(7), t, blocks=60, shard_tokens=150, size=F.length("text")).chosen
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, m.chosen.collect()))
+
+
+def test_unreachable_sources():
+    rng = random.Random(4)
+    for _ in range(200):
+        names = "abcdefgh"[: rng.randint(1, 8)]
+        w = [rng.random() ** 3 for _ in names]
+        weights = {s: x / sum(w) for s, x in zip(names, w, strict=True)}
+        have = {s: rng.choice([0, 3, 50, 1000, 20_000, rng.randint(0, 5000)]) for s in names}
+        repeats = {s: rng.randint(0, 4) for s in names}
+        total = sum(have.values()) + rng.randint(0, 99)
+        assert mixing.unreachable(weights, have, repeats, total, rng.choice([1, 10, 1000])) == {s for s in names if have[s] * repeats[s] < weights[s] * total}
+    assert mixing.unreachable({}, {}, {}, 0, 10) == set()
