@@ -93,6 +93,14 @@ def _language_accuracy(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.size("codes") > 0).cast("int")).alias("n_detected"))
 
 
+#: key columns of the shredded tables
+_KEYS = ["record_id", "parent_path", "item_no"]
+
+
+def _shredded(s: SparkSession, d: str) -> nested.NestedTables:
+    return nested.shred(read_table(s, d, "archive_records"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
     full = pipeline.ExtractionConfig(language_detection=True, token_reduction="light", keywords=pipeline.KeywordConfig("rake"), chunking=chunking.ChunkConfig())
@@ -155,8 +163,15 @@ def queries() -> dict[str, Query]:
         "pipeline_full": lambda s, d: pipeline.run_pipeline(_docs(s, d), full),
         "p6_found": lambda s, d: nested.found(read_table(s, d, "archive_records")),
         "p6_variants": lambda s, d: nested.variant_counts(nested.shred(read_table(s, d, "archive_records"))),
-        "p6_results": lambda s, d: nested.shred(read_table(s, d, "archive_records")).results,
-        "p6_entries": lambda s, d: nested.shred(read_table(s, d, "archive_records")).entries,
-        "p6_chunks": lambda s, d: nested.shred(read_table(s, d, "archive_records")).chunks,
-        "p6_tables": lambda s, d: nested.shred(read_table(s, d, "archive_records")).tables,
+        "p6_subtypes": lambda s, d: nested.shred(read_table(s, d, "archive_records")).subtypes(),
+        "p6_results": lambda s, d: _shredded(s, d).results.select(
+            *_KEYS, "content", "mime_type", "title", "language", "page_count", "page_unit", "format_type", F.array_join("authors", "; ").alias("authors"), "quality_score"
+        ),
+        "p6_entries": lambda s, d: _shredded(s, d).entries.select(*_KEYS, "path", "entry_path", "mime_type", "has_result"),
+        "p6_chunks": lambda s, d: _shredded(s, d).chunks.select(
+            *_KEYS, "content", "chunk_type", "byte_start", "byte_end", "token_count", "chunk_index", "total_chunks", F.array_join(F.transform("headings", lambda h: h["text"]), " > ").alias("headings")
+        ),
+        "p6_tables": lambda s, d: _shredded(s, d).tables.select(
+            *_KEYS, F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "/").alias("cells"), "markdown", "page_number", *[F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
+        ),
     }

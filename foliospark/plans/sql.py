@@ -99,6 +99,34 @@ _DASH = f"coalesce(list_sum(list_transform(list_filter(string_split(text, chr(10
 _OCR_BYTES = f"CASE WHEN contains(text, '  ') OR contains(text, '...') THEN {_bytes('text', _OCR)} + {_DASH} ELSE 0 END"
 
 
+def _member(j: str, name: str) -> str:
+    """The first member that is not null whose key is ``name`` without case and separators."""
+    keys = f"list_filter(json_keys({j}), lambda k: regexp_replace(lower(k), '[^a-z0-9]', '', 'g') = '{name}')"
+    return f"list_filter(list_transform({keys}, lambda k: json_extract({j}, '$.\"' || k || '\"')), lambda v: json_type(v) <> 'NULL')[1]"
+
+
+def _str(j: str, name: str) -> str:
+    return f"json_extract_string({_member(j, name)}, '$')"
+
+
+def _objects(x: str) -> str:
+    return f"list_filter(CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END, lambda y: json_type(y) = 'OBJECT')"
+
+
+#: every result of every archive with its path
+_RESULTS = f"""WITH RECURSIVE r AS (SELECT archive_id, '' AS path, CAST(payload AS JSON) AS j FROM (SELECT DISTINCT archive_id, payload FROM archive_records) WHERE json_valid(payload)
+ UNION ALL SELECT archive_id, CASE WHEN path = '' THEN '' ELSE path || '/' END || no, CASE WHEN json_type(res) = 'VARCHAR' THEN CAST(json_extract_string(res, '$') AS JSON) ELSE res END
+ FROM (SELECT archive_id, path, no, json_extract(child, '$.result') AS res FROM (SELECT archive_id, path, unnest(cs) AS child, generate_subscripts(cs, 1) - 1 AS no FROM (
+ SELECT archive_id, path, {_objects("json_extract(j, '$.children')")} AS cs FROM r)))
+ WHERE json_type(res) = 'OBJECT' OR (json_type(res) = 'VARCHAR' AND json_valid(json_extract_string(res, '$'))))"""
+
+
+def _of(slot: str) -> str:
+    """The objects of one slot of all results."""
+    return f"""{_RESULTS}, x AS (SELECT archive_id AS record_id, path AS parent_path, CAST(no AS BIGINT) AS item_no, x FROM (SELECT archive_id, path, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS no FROM (
+ SELECT archive_id, path, {_objects(f"json_extract(j, '$.{slot}')")} AS xs FROM r)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
     unit = "(SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
@@ -174,12 +202,15 @@ def oracle_sql() -> dict[str, str]:
  SELECT element_id, CASE WHEN u > 0 THEN round(i / u, 6) ELSE 0.0 END AS iou, round(5.0 * abs((x0 + x1) / 2 - (a0 + a1) / 2) + abs((y0 + y1) / 2 - (b0 + b1) / 2), 6) AS distance
  FROM (SELECT *, greatest(x1 - x0, 0) * greatest(y1 - y0, 0) + greatest(a1 - a0, 0) * greatest(b1 - b0, 0) - i AS u FROM q)""",
         "corpus_cube": "SELECT source, mime_type, grouping_id(source, mime_type) AS level, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents GROUP BY CUBE (source, mime_type)",
-        "p6_found": """WITH RECURSIVE r AS (SELECT archive_id, '' AS path, CAST(payload AS JSON) AS j FROM (SELECT DISTINCT archive_id, payload FROM archive_records) WHERE json_valid(payload)
- UNION ALL SELECT archive_id, CASE WHEN path = '' THEN '' ELSE path || '/' END || no, CASE WHEN json_type(res) = 'VARCHAR' THEN CAST(json_extract_string(res, '$') AS JSON) ELSE res END
- FROM (SELECT archive_id, path, no, json_extract(child, '$.result') AS res FROM (SELECT archive_id, path, unnest(cs) AS child, generate_subscripts(cs, 1) - 1 AS no FROM (
- SELECT archive_id, path, list_filter(CASE json_type(j, '$.children') WHEN 'ARRAY' THEN json_extract(j, '$.children[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.children')] ELSE [] END, lambda x: json_type(x) = 'OBJECT') AS cs FROM r)))
- WHERE json_type(res) = 'OBJECT' OR (json_type(res) = 'VARCHAR' AND json_valid(json_extract_string(res, '$'))))
- SELECT DISTINCT archive_id, kind, path AS parent_path, CAST(no AS BIGINT) AS item_no FROM (SELECT archive_id, path, kind, unnest(generate_series(0, len(xs) - 1)) AS no FROM (SELECT archive_id, path, kind,
- list_filter(CASE json_type(x) WHEN 'ARRAY' THEN json_extract(x, '$[*]') WHEN 'OBJECT' THEN [x] ELSE [] END, lambda y: json_type(y) = 'OBJECT') AS xs FROM (
- SELECT archive_id, path, unnest(['entry', 'chunk', 'table']) AS kind, unnest([json_extract(j, '$.children'), json_extract(j, '$.chunks'), json_extract(j, '$.tables')]) AS x FROM r)))""",
+        "p6_found": f"""{_RESULTS} SELECT DISTINCT archive_id, kind, path AS parent_path, CAST(no AS BIGINT) AS item_no FROM (SELECT archive_id, path, kind, unnest(generate_series(0, len(xs) - 1)) AS no FROM (SELECT archive_id, path, kind,
+ {_objects('x')} AS xs FROM (SELECT archive_id, path, unnest(['entry', 'chunk', 'table']) AS kind, unnest([json_extract(j, '$.children'), json_extract(j, '$.chunks'), json_extract(j, '$.tables')]) AS x FROM r)))""",
+        "p6_results": f"""{_RESULTS} SELECT archive_id AS record_id, path AS parent_path, 0::BIGINT AS item_no, {_str('j', 'content')} AS content, {_str('j', 'mimetype')} AS mime_type, {_str('m', 'title')} AS title, {_str('m', 'language')} AS language,
+ TRY_CAST({_str('p', 'totalcount')} AS BIGINT) AS page_count, {_str('p', 'unittype')} AS page_unit, {_str('m', 'formattype')} AS format_type, array_to_string(CAST({_member('m', 'authors')} AS VARCHAR[]), '; ') AS authors, TRY_CAST({_str('j', 'qualityscore')} AS DOUBLE) AS quality_score
+ FROM (SELECT *, {_member('m', 'pages')} AS p FROM (SELECT *, {_member('j', 'metadata')} AS m FROM r))""",
+        "p6_entries": f"""{_of('children')} SELECT record_id, parent_path, item_no, CASE WHEN parent_path = '' THEN '' ELSE parent_path || '/' END || item_no AS path, {_str('x', 'path')} AS entry_path, {_str('x', 'mimetype')} AS mime_type,
+ coalesce(json_type(res) = 'OBJECT' OR (json_type(res) = 'VARCHAR' AND json_valid(json_extract_string(res, '$'))), false) AS has_result FROM (SELECT *, {_member('x', 'result')} AS res FROM x)""",
+        "p6_chunks": f"""{_of('chunks')} SELECT record_id, parent_path, item_no, {_str('x', 'content')} AS content, {_str('x', 'chunktype')} AS chunk_type, {', '.join(f"TRY_CAST({_str('m', c.replace('_', ''))} AS BIGINT) AS {c}" for c in ('byte_start', 'byte_end', 'token_count', 'chunk_index', 'total_chunks'))},
+ CASE WHEN m IS NOT NULL THEN coalesce(array_to_string(list_transform({_objects('hs')}, lambda h: json_extract_string(h, '$.text')), ' > '), '') END AS headings FROM (SELECT *, {_member('h', 'headings')} AS hs FROM (SELECT *, {_member('m', 'headingcontext')} AS h FROM (SELECT *, {_member('x', 'metadata')} AS m FROM x)))""",
+        "p6_tables": f"""{_of('tables')} SELECT record_id, parent_path, item_no, array_to_string(list_transform(CAST(cells AS VARCHAR[][]), lambda r: array_to_string(r, '|')), '/') AS cells, {_str('x', 'markdown')} AS markdown, TRY_CAST({_str('x', 'pagenumber')} AS BIGINT) AS page_number,
+ {', '.join(f"TRY_CAST({_str('b', c)} AS DOUBLE) AS {c}" for c in ('x0', 'y0', 'x1', 'y1'))} FROM (SELECT *, {_member('x', 'cells')} AS cells, {_member('x', 'boundingbox')} AS b FROM x)""",
     }

@@ -1,5 +1,8 @@
 import json
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from foliospark.operators import nested
 
 PAYLOAD = {
@@ -50,3 +53,44 @@ def test_deep_nesting_does_not_crash():
         deep = {"children": [{"result": deep}]}
     assert len(nested.shred_payload(json.dumps(deep))) == 401
     assert nested.shred_payload('{"a":' * 100_000) == []
+
+
+def test_states_carry_those_of_children():
+    """An entry with a bare result and one with a full result are different variants of one subtype."""
+    bare = {"children": [{"path": "a", "result": {"metadata": {"title": "x"}}}]}
+    full = {"children": [{"path": "a", "result": {"metadata": {"title": "x"}, "tables": [{}], "chunks": [{}], "children": [{}]}}]}
+    one, other = ([r for r in nested.shred_payload(json.dumps(p)) if r["kind"] in ("entry", "result") and r["parent_path"] == ""] for p in (bare, full))
+    assert [r["subtype"] for r in one] == [r["subtype"] for r in other]
+    assert all(a["variant"] != b["variant"] for a, b in zip(one, other, strict=True))
+    again = nested.shred_payload(json.dumps({"children": bare["children"][0] | {"mimeType": None}}))
+    assert [r["variant"] for r in again if r["path"] == ""] == [r["variant"] for r in one if r["kind"] == "result"]
+
+
+def brute_state(value):
+    if isinstance(value, dict):
+        return nested._short("{" + ",".join(f"{k}:{brute_state(v)}" for k, v in sorted(value.items()) if v is not None) + "}")
+    if isinstance(value, list):
+        return nested._short("[" + "|".join(sorted({brute_state(v) for v in value})) + "]")
+    return {type(None): "0", bool: "b", int: "n", float: "n", str: "s"}[type(value)]
+
+
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.text(max_size=2)), lambda x: st.one_of(st.lists(x, max_size=4), st.dictionaries(st.sampled_from("abcd"), x, max_size=4)), max_leaves=30))
+def test_inner_states(value):
+    assert nested.inner_state(value) == brute_state(value)
+
+
+def test_subtype_tables_and_extra_members(spark, tmp_path):
+    payload = {
+        "content": "c", "quality_score": "0.5", "detectedLanguages": ["eng"], "processing_warnings": [{"source": "s"}], "metadata": {"title": "t", "additional": {"k": 1}},
+        "chunks": [{"content": "a", "embedding": [1, 2.5], "score": 7}, {"content": "b"}],
+    }
+    t = nested.shred(spark.createDataFrame([(1, json.dumps(payload))], "archive_id bigint, payload string"))
+    root = t.results.first()
+    assert root["quality_score"] == 0.5 and root["detected_languages"] == ["eng"] and root["extra"] == {"processingwarnings": '[{"source": "s"}]', "metadata.additional": '{"k": 1}'}
+    kinds = {r["subtype"]: r["n_rows"] for r in t.subtypes().where("kind = 'chunk'").collect()}
+    assert kinds == {"chunk(content:s,embedding:[n],score:n)": 1, "chunk(content:s)": 1}
+    typed = t.subtype_table("chunk(content:s,embedding:[n],score:n)")
+    assert typed.columns == [*nested.KEYS, "content", "embedding", "score"] and typed.first()["embedding"] == [1.0, 2.5] and typed.first()["score"] == "7"
+    assert t.subtype_table("chunk(content:s)").columns == [*nested.KEYS, "content"]
+    t.write(f"{tmp_path}/out")
+    assert {r["table"] for r in t.subtypes().collect()} == {p.name.partition("=")[2] for p in tmp_path.glob("out/kind=*/table=*")}
