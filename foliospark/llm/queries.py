@@ -31,7 +31,7 @@ def queries() -> dict[str, Query]:
         "p9_found": lambda s, d: mixing.found(table(s, d, "documents"), table(s, d, "mix_sources")),
         "p9_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_sources")).shares,
         "p10_found": lambda s, d: shared_spans.found(table(s, d, "documents")),
-        "p10_spans": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).spans(),
+        "p10_spans": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).spans().drop("class_id"),
         "p10_coverage": lambda s, d: shared_spans.SharedSpans(table(s, d, "documents")).coverage(),
         "p9_blocks": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_sources")).blocks,
         "p9_planned_characters": lambda s, d: mixing.planned_in_characters(table(s, d, "documents"), table(s, d, "mix_sources")),

@@ -2,9 +2,9 @@
 
 Two routing steps keep the work near what is really shared, without losing a span of the least length: a window
 whose minimum-hash anchor no other text has is ruled out, and of the windows left only those whose hash another
-text has too are kept. Then fixed-length reference blocks (the first of each run of windows
-that the same texts share) are indexed, every rolling window probes them, and hits are extended in the texts to
-maximal exact repeats. Exact copies are one text throughout; their records are joined in at the end.
+text has too are kept. Then fixed-length reference blocks (the first of each run of windows that the same texts share)
+are indexed, every rolling window probes them, and hits are extended over the windows that follow to maximal exact
+repeats. Windows are told apart by 128 bits. Exact copies are one text throughout; their records are joined in at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliospark.llm.identity import numbered
 from foliospark.llm.rolling import Windows, anchors
 from foliospark.session import ship_package, stage
 
@@ -72,43 +73,8 @@ def _window_rows(length: int):
                     own = slice(*np.searchsorted(text, [k, k + 1]))
                     shared[own] = np.isin(keys[own], np.asarray(known, np.int64))
                 at, text = at[shared], text[shared]
-                yield pd.DataFrame({"key": w.at(at, length).view(np.int64), "text_id": part["text_id"].to_numpy()[text], "pos": (at - w.starts[text]).astype(np.int32)})
-
-    return run
-
-
-def _same(a: str, b: str, i: int, j: int) -> int:
-    """How many characters a and b have in common from i and j on."""
-    low, high = 0, min(len(a) - i, len(b) - j)
-    step = 64
-    while low < high:
-        n = min(step, high - low)
-        if a[i + low : i + low + n] == b[j + low : j + low + n]:
-            low += n
-            step *= 2
-        elif n == 1:
-            break
-        else:
-            high, step = low + n - 1, max(1, n // 2)
-    return low
-
-
-def _extend(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for lo, hi, shift, hits, a, b in batch[["lo", "hi", "shift", "hits", "a", "b"]].itertuples(index=False):
-                covered = -1
-                for p in sorted(hits):
-                    if p < covered:
-                        continue
-                    q = p + shift
-                    n = _same(a, b, p, q)
-                    back = _same(a[p - 1 :: -1] if p else "", b[q - 1 :: -1] if q else "", 0, 0)
-                    covered = p + n
-                    if n + back >= length:
-                        rows.append((lo, hi, p - back, q - back, n + back))
-            yield pd.DataFrame(rows, columns=["text_a", "text_b", "start_a", "start_b", "length"])
+                # equal windows have equal hashes of their first halves too: the two numbers tell windows apart by 128 bits
+                yield pd.DataFrame({"key": w.at(at, length).view(np.int64), "half": w.at(at, length // 2).view(np.int64), "text_id": part["text_id"].to_numpy()[text], "pos": (at - w.starts[text]).astype(np.int32)})
 
     return run
 
@@ -126,7 +92,7 @@ class SharedSpans:
         ship_package(documents.sparkSession)
         self.length = length
         text = documents[text_col]
-        docs = documents.select(documents[id_col].alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"), F.length(text).alias("n_chars"))
+        docs = numbered(documents.select(documents[id_col].alias("doc_id"), text.alias("text"), F.length(text).alias("n_chars")), F.col("text"), "text_id")
         #: every record, those without spans too
         self.records = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("n_chars", F.lit(0))).alias("n_chars"))
         #: which records have which text, whatever its length
@@ -134,37 +100,53 @@ class SharedSpans:
         docs = docs.where((F.length("text") >= length) & F.col("doc_id").isNotNull())
         self.members = docs.select("doc_id", "text_id", "n_chars").distinct()
         many = F.min("text_id") != F.max("text_id")
-        rows = docs.select("text_id", "text").mapInPandas(_anchor_rows(length), "key bigint, text_id bigint").distinct()
-        rows = stage(rows, "anchors")
+        rows = stage(docs.select("text_id", "text").mapInPandas(_anchor_rows(length), "key bigint, text_id bigint"), "anchors")
         keys = rows.groupBy("key").agg(many.alias("many")).where("many").select("key")
         lists = rows.join(keys, "key").groupBy("text_id").agg(F.collect_set("key").alias("keys"))
         #: texts that share an anchor, once each
-        self.texts = stage(docs.select("text_id", "text").join(lists, "text_id").dropDuplicates(["text_id"]), "texts")
-        wins = stage(self.texts.mapInPandas(_window_rows(length), "key bigint, text_id bigint, pos int"), "windows")
-        mark = F.xxhash64(F.lit(1), "text_id")
-        sets = wins.groupBy("key").agg(many.alias("many"), F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "text_id")).alias("y"))
-        sets = sets.where("many").select("key", F.xxhash64("n", "x", "y").alias("who"))
-        #: every window that another text has too; who: the same number where the same texts share it
-        self.windows = stage(wins.join(sets, "key"), "shared")
+        self.texts = docs.select("text_id", "text").join(lists, "text_id").dropDuplicates(["text_id"])
+        wins = stage(self.texts.mapInPandas(_window_rows(length), "key bigint, half bigint, text_id bigint, pos int"), "windows")
+        mark = F.xxhash64(F.lit(1), "text_id")  # sums of its halves, which cannot overflow
+        sets = wins.groupBy("key", "half").agg(many.alias("many"), F.count("*").alias("n"), F.sum(F.shiftrightunsigned(mark, 32)).alias("x"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("y"))
+        sets = sets.where("many").select("key", "half", F.xxhash64("n", "x", "y").alias("who"), "n")
+        #: every window that another text has too; who: the same number where the same texts share it; n: how many windows are equal
+        self.windows = stage(wins.join(sets, ["key", "half"]), "shared")
+
+    def _blocks(self) -> DataFrame:
+        """The windows, with first: whether one begins a run of windows that the same texts share."""
+        run = Window.partitionBy("text_id").orderBy("pos")
+        first = F.coalesce((F.lag("who").over(run) != F.col("who")) | (F.lag("pos").over(run) != F.col("pos") - 1), F.lit(True))
+        return self.windows.withColumn("first", first)
 
     def spans(self) -> DataFrame:
-        """Maximal exact repeats of pairs of different texts: text_a, text_b, start_a, start_b, length."""
+        """Maximal exact repeats, a row for each place of each record: class_id, doc_id, start, length, n_places.
+
+        A class is a passage with the texts that share it; a longer repeat of fewer texts is a row of classes one after
+        another. So a passage that n texts share takes n rows, not n² pairs. n_places counts its places in different texts
+        and within them. Copies of a whole text share its rows; texts that have copies only have none (see ``coverage``).
+        """
+        blocks = self._blocks()
+        begins = blocks.where("first").select("key", "half").distinct().withColumn("begins", F.lit(True))  # in any of the texts
+        marked = blocks.join(begins, ["key", "half"], "left")
         run = Window.partitionBy("text_id").orderBy("pos")
-        first = F.coalesce((F.lag("who").over(run) != F.col("who")) | (F.lag("pos").over(run) != F.col("pos") - 1), F.lit(True))
-        blocks = self.windows.withColumn("first", first).where("first").select("key", F.col("text_id").alias("t"), F.col("pos").alias("p"))
-        hits = blocks.join(self.windows.select("key", "text_id", "pos"), "key").where("t != text_id")
-        turn = F.col("t") > F.col("text_id")
-        pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-        hits = hits.select(pick("t", "text_id").alias("lo"), pick("text_id", "t").alias("hi"), pick("p", "pos").alias("at"), (pick("pos", "p") - pick("p", "pos")).alias("shift"))
-        hits = hits.groupBy("lo", "hi", "shift").agg(F.collect_set("at").alias("hits"))
-        text = self.texts.select("text_id", "text")
-        both = hits.join(text.toDF("lo", "a"), "lo").join(text.toDF("hi", "b"), "hi")
-        return both.mapInPandas(_extend(self.length), "text_a bigint, text_b bigint, start_a int, start_b int, length int")
+        marked = marked.withColumn("run", F.count(F.when(F.col("begins") | F.col("first"), 1)).over(run))
+        head = F.min(F.struct("pos", "key", "half", "n")).alias("h")
+        runs = marked.groupBy("text_id", "run").agg(head, F.count("*").alias("windows"))
+        class_id = F.xxhash64("h.key", "h.half").alias("class_id")
+        runs = runs.select(class_id, "text_id", F.col("h.pos").alias("start"), (F.col("windows") + self.length - 1).cast("int").alias("length"), F.col("h.n").alias("n_places"))
+        return runs.join(self.members.select("doc_id", "text_id"), "text_id").select("class_id", "doc_id", "start", "length", "n_places")
+
+    def links(self) -> DataFrame:
+        """Pairs of different texts that share a span: text_a, text_b."""
+        index = self._blocks().where("first").select("key", "half", F.col("text_id").alias("a"))
+        # every text of a set has a first window of it, so one direction finds each pair
+        hits = index.join(self.windows.select("key", "half", F.col("text_id").alias("b")), ["key", "half"]).where("a < b")
+        return hits.select(F.col("a").alias("text_a"), F.col("b").alias("text_b")).distinct()
 
     def pairs(self) -> DataFrame:
         """Pairs of records that share a span, the smaller id first: doc_id_a, doc_id_b."""
         m = self.members.select("doc_id", "text_id")
-        links = self.spans().select("text_a", "text_b").distinct()
+        links = self.links()
         a, b = m.toDF("x", "text_a"), m.toDF("y", "text_b")
         across = links.join(a, "text_a").join(b, "text_b").select("x", "y")
         copies = a.join(b, F.col("text_a") == F.col("text_b")).where("x < y").select("x", "y")

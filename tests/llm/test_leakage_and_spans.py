@@ -1,9 +1,12 @@
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import leakage, shared_spans
+from foliospark.llm.identity import numbered
 from foliospark.llm.rolling import Windows, anchors, sliding_min
 
 
@@ -85,8 +88,24 @@ def test_spans_against_brute_force(spark, seed):
             if t[p : p + 300] in others:
                 marked |= set(range(p, p + 300))
         assert cover[k]["shared_chars"] == len(marked)
-    for r in op.spans().collect():
+    spans = op.spans().collect()
+    by_class = {}
+    for r in spans:
         assert r["length"] >= 300
+        by_class.setdefault(r["class_id"], []).append(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+    assert all(len({t[:300] for t in of}) == 1 and len(of) > 1 for of in by_class.values())
+    linked = {tuple(sorted((a["doc_id"], b["doc_id"]))) for a in spans for b in spans if a["class_id"] == b["class_id"] and texts[a["doc_id"]] != texts[b["doc_id"]]}
+    assert linked == {p for p in brute(texts, 300) if texts[p[0]] != texts[p[1]]}
+
+
+def test_numbers_of_values(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id int, text string")
+    got = {r["id"]: r["n"] for r in numbered(df, F.col("text"), "n").collect()}
+    assert got[1] == got[3] != got[2]
+    one = F.lit(5).cast("bigint")  # all values meet in the first hash
+    with mock.patch.object(F, "xxhash64", lambda *c: one if len(c) == 1 else F.hash(*c).cast("bigint")):
+        got = {r["id"]: r["n"] for r in numbered(df, F.col("text"), "n").collect()}
+    assert got[1] == got[3] != got[2]
 
 
 def test_empty(spark):
