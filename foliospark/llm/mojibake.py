@@ -32,7 +32,7 @@ LOSSY = ["cp1252", "cp1250", "cp1251", "koi8-r", "gb18030", "mac_roman"]
 CHAINS: dict[str, list[tuple[str, str]]] = {f"{a}>{b}": [(a, b)] for a, b in [*(("utf-8", b) for b in READ_UTF8), *SINGLE]}
 CHAINS |= {f"utf-8>{b}>utf-8>{b}": [("utf-8", b)] * 2 for b in ("cp1252", "latin-1", "cp850", "mac_roman")}
 #: chains whose wrong characters then were written as references (of numbers, or of names where there are any): markup that was built from misread bytes
-REFERENCES = {f"utf-8>{b}>{r}": r for b in ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman") for r in ("&#;", "&;")}
+REFERENCES = {f"utf-8>{b}>{r}": r for b in ("latin-1", "cp1252") for r in ("&#;", "&;")}
 CHAINS |= {c: [("utf-8", c.split(">")[1])] for c in REFERENCES}
 #: the chains, those of most steps first
 DEEPEST = sorted(CHAINS, key=lambda c: -len(CHAINS[c]))
@@ -61,6 +61,20 @@ def _charset(name: str) -> tuple[dict[int, str], dict[str, int]]:
 _CHARSETS = {n: _charset(n) for n in {b for steps in CHAINS.values() for _, b in steps}}
 
 
+class _References(dict):
+    """Code points to their references; ASCII stays."""
+
+    def __init__(self, names: dict[int, str]):
+        self.names = names
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = chr(code) if code < 128 else f"&{self.names.get(code) or f'#{code}'};"
+        return out
+
+
+_WRITTEN = {"&#;": _References({}), "&;": _References(codepoint2name)}
+
+
 def garble(text: str, chain: str) -> str | None:
     """What a chain makes of a text; None where the text cannot be written in the chain's encoding."""
     for written, read in CHAINS[chain]:
@@ -68,12 +82,8 @@ def garble(text: str, chain: str) -> str | None:
             data = text.encode(written)
         except UnicodeEncodeError:
             return None
-        chars = _CHARSETS[read][0]
-        text = "".join([chars[b] for b in data])
-    if chain in REFERENCES:
-        names = codepoint2name if REFERENCES[chain] == "&;" else {}
-        text = "".join([c if c < "\x80" else f"&{names.get(ord(c)) or f'#{ord(c)}'};" for c in text])
-    return text
+        text = data.decode("latin-1").translate(_CHARSETS[read][0])
+    return text.translate(_WRITTEN[REFERENCES[chain]]) if chain in REFERENCES else text
 
 
 def plain(text: str) -> str:
@@ -121,8 +131,9 @@ def forms(word: str) -> dict[str, str]:
             continue
         if "�" in form:  # without it nothing was lost; the form of a garbled word would be the right one
             out.setdefault(form, "lossy")
+    widths = [(c, 0 if c < "\x80" else len(c.encode("utf-8"))) for c in word]
     for n in (1, 2, 3):
-        out.setdefault("".join([c if c < "\x80" else "�" * min(n, len(c.encode("utf-8"))) for c in word]), "lossy")
+        out.setdefault("".join(["�" * min(n, w) if w else c for c, w in widths]), "lossy")
     return {f: c for f, c in out.items() if f != word and (not f.isascii() or "&" in f)}
 
 
@@ -130,7 +141,8 @@ def _weight(word: str, form: str, chain: str) -> float:
     """How far one verified word alone speaks for a garbled record: 1 is enough."""
     if chain == "lossy":  # U+FFFD is what a failed decoding leaves
         return 1.0
-    form = plain(form)
+    if chain in REFERENCES:
+        return 1.0
     if len(form) > len(word):  # several bytes a character
         return 1.0 if not form.isalpha() or len(word) > 2 else 0.25
     return 0.5 if len(word) > 3 else 0.1
@@ -157,7 +169,7 @@ def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for form, chain in forms(word).items():
                 weight = _weight(word, form, chain)
-                if records == 1 and chain != "lossy" and len(plain(form)) <= len(word):
+                if records == 1 and chain != "lossy" and len(form) <= len(word):
                     if _rank(form, ranks) <= _rank(word, ranks):
                         continue
                     weight /= 2
@@ -220,16 +232,17 @@ class Garbled:
         # characters of the corpus (at most all of Unicode) that several words have
         chars = vocabulary.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "records").groupBy("c").agg(F.sum("records").alias("n"))
         known = chars.where((F.col("n") >= 3) & (F.col("c") >= "\x80") & (F.col("c") != "�")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "c"))), lambda x: x["c"])).alias("known"))
-        long = vocabulary.where((F.length("token") >= 2) | (F.col("token") == "�")).crossJoin(F.broadcast(known))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the kernel, however few bytes the words have
+        long = vocabulary.where((F.length("token") >= 2) | (F.col("token") == "�")).repartition(parts, "token").crossJoin(F.broadcast(known))
         restored = stage(long.mapInPandas(_restored, "token string, records bigint, word string, chain string, turn int, known boolean, weight double"), "restored")
         # tokens that are garbled themselves are no originals
         stands = F.col("known") | (F.col("word_records") * COMMONER >= F.col("records"))
         seen = restored.join(vocabulary.select(F.col("token").alias("word"), F.col("records").alias("word_records")), "word", "left")
         garbled = seen.where((F.col("weight") >= 1) & stands).select("token").distinct()
-        clean = vocabulary.join(garbled, "token", "left_anti").crossJoin(F.broadcast(known))
+        clean = vocabulary.join(garbled, "token", "left_anti").repartition(parts, "token").crossJoin(F.broadcast(known))
         made = clean.mapInPandas(_forms_of, "token string, word string, chain string, word_records bigint, weight double")
         # long words have long forms: both go through the joins as 64-bit hashes
-        made = made.select(F.xxhash64("token").alias("key"), F.xxhash64("word").alias("word_key"), "chain", "word_records", "weight")
+        made = stage(made.select(F.xxhash64("token").alias("key"), F.xxhash64("word").alias("word_key"), "chain", "word_records", "weight"), "made")
         keyed = vocabulary.withColumn("key", F.xxhash64("token"))
         joined = keyed.join(made, "key").where(F.col("word_records") * COMMONER >= F.col("records"))
         verified = joined.join(keyed.select(F.col("key").alias("word_key"), F.col("token").alias("word")), "word_key").select("token", "word", "chain", "word_records", "weight")
