@@ -11,7 +11,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for k, base in enumerate((_BASE, _BACK)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

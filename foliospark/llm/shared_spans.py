@@ -26,7 +26,7 @@ LENGTH = 300
 #: Anchors are hashes of this many characters; each window has one.
 GRAM = 128
 #: Characters hashed at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 400_000
 
 
 def _groups(texts: pd.Series) -> Iterator[slice]:
