@@ -10,15 +10,13 @@ import numpy as np
 
 
 class Graph:
-    """Graph of the rows of ``x`` (unit vectors, float32). Every row keeps its best neighbours seen while it was built."""
+    """Graph of the rows of ``x`` (unit vectors, float32)."""
 
-    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, relax: float = 1.15, k: int = 8, seed: int = 1):
+    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, relax: float = 1.15, seed: int = 1):
         self.x = np.ascontiguousarray(x, np.float32)
-        self.n, self.degree, self.beam, self.relax, self.k = len(x), degree, beam, relax, k
+        self.n, self.degree, self.beam, self.relax = len(x), degree, beam, relax
         #: room for half as many edges again, so that pruning runs only now and then
         self.edges = np.full((self.n, degree + degree // 2), -1, np.int32)
-        self.best = np.full((self.n, k), -1, np.int32)
-        self.best_sim = np.full((self.n, k), -2.0, np.float32)
         rng = np.random.default_rng(seed)
         order = rng.permutation(self.n).astype(np.int32)
         self.entries = order[: min(16, self.n)]
@@ -38,18 +36,6 @@ class Graph:
         order = np.argsort(-sims, axis=1)[:, :-1]
         cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
         self.edges[ids, : self.degree] = self._prune(cand[:, :48], sims[:, :48])
-        self._remember(ids, cand, sims)
-
-    def _remember(self, ids: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
-        """Keep the k best of old and new neighbours; ``cand`` has each candidate once and comes in falling order."""
-        cand, sims = cand[:, : self.k], sims[:, : self.k]
-        old, old_sim = self.best[ids], self.best_sim[ids]
-        fresh = ~(cand[:, :, None] == old[:, None, :]).any(2) & (cand >= 0)
-        both = np.concatenate((old, cand), 1)
-        both_sim = np.concatenate((old_sim, np.where(fresh, sims, -2)), 1)
-        top = np.argsort(-both_sim, axis=1, kind="stable")[:, : self.k]
-        self.best_sim[ids] = np.take_along_axis(both_sim, top, 1)
-        self.best[ids] = np.where(self.best_sim[ids] > -2, np.take_along_axis(both, top, 1), -1)
 
     def search(self, q: np.ndarray, beam: int | None = None, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of each row of ``q``: the nodes of its final beam and their similarities, the most similar first."""
@@ -151,16 +137,11 @@ class Graph:
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         edges = self._prune(ids, sims)
         self.edges[batch, : self.degree] = edges
-        self._remember(batch, ids, sims)
-        # the other direction: of the edges, and of the neighbours seen
+        # the other direction
         source = np.repeat(batch, self.degree)
         target = edges.ravel()
         source, target = source[target >= 0], target[target >= 0]
         self._add_back(target, source)
-        source = np.repeat(batch, self.k)
-        target, s = self.best[batch].ravel(), self.best_sim[batch].ravel()
-        ok = (target >= 0) & (s > self.best_sim[np.maximum(target, 0), -1])
-        self._remember_back(target[ok], source[ok], s[ok])
 
     def _grouped(self, target: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((-s, target))
@@ -168,16 +149,6 @@ class Graph:
         place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
         return order, nodes, np.repeat(np.arange(len(nodes)), counts), place
 
-    def _remember_back(self, target: np.ndarray, source: np.ndarray, s: np.ndarray) -> None:
-        if not len(target):
-            return
-        order, nodes, row, place = self._grouped(target, s)
-        keep = place < self.k
-        cand = np.full((len(nodes), self.k), -1, np.int32)
-        sims = np.full((len(nodes), self.k), -2.0, np.float32)
-        cand[row[keep], place[keep]], sims[row[keep], place[keep]] = source[order][keep], s[order][keep]
-        self._remember(nodes, cand, sims)
-
     def _add_back(self, target: np.ndarray, source: np.ndarray) -> None:
         if not len(target):
             return

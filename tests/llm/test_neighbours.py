@@ -1,3 +1,5 @@
+from unittest import mock
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,32 @@ def test_search(table):
     assert got.groupby("query_id")["rank"].max().max() == 10 and 5001 not in by.index
 
 
+def test_centres_at_two_levels(table):
+    x, df = table
+    v = neighbours.Vectors(df, sample=400)
+    c = v.centres(60)
+    assert c.tops is not None and len(c) > len(c.tops) > 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = np.argmax(u @ c.centres.T, axis=1)
+    assert np.mean(c.nearest(u, 3)[:, 0] == exact) > 0.9
+    want, _ = truth(x, 5, 0.85)
+    near = {(r["a"], r["b"]) for r in neighbours.close_pairs(v, probes=4, shard=60).collect()}
+    assert len({p for p in near if p[1] < 5000} & want) / len(want) >= 0.9
+
+
+def test_shards_are_split(table):
+    """All vectors under one centre: the shard is split into parts, and no pair is lost."""
+    x, df = table
+    v = neighbours.Vectors(df)
+    one = neighbours.Centres(np.ones((1, 64), np.float32) / 8)
+    first, parts = v.parts(one, 400)
+    assert first.tolist() == [0] and parts.tolist() == [4]
+    with mock.patch.object(v, "centres", lambda shard: one):
+        near = {(r["a"], r["b"]) for r in neighbours.close_pairs(v, shard=400).collect()}
+    want, _ = truth(x, 5, 0.85)
+    assert len({p for p in near if p[1] < 5000} & want) / len(want) >= 0.99
+
+
 def test_empty(table):
     _, df = table
     assert neighbours.found(df.limit(0)).count() == 0
