@@ -10,7 +10,8 @@ import numpy as np
 
 from foliospark.llm.boosting import Boosting
 
-#: Lines at each edge of a page that may be furniture; pages that a line is compared with before and after its own.
+#: Lines at each edge of a page that may be furniture, beyond what is known to be; pages that every line there is compared
+#: with before and after its own (lines of other pages are compared with the running lines found by then).
 EDGE, NEAR = 3, 4
 #: Characters that end a line inside a word.
 HYPHENS = "-‐‑­¬"
@@ -63,7 +64,7 @@ class Page:
         self.lines = [x.replace("\f", "").strip() for x in raw]
         self.raw = raw
         n = len(raw)
-        self.value = [number_of(x) if x and len(x) < 24 else None for x in self.lines]
+        self.value = [number_of(x) if x and sum(map(str.isalnum, x)) < 24 else None for x in self.lines]
         page, pages = 0, []
         full = [k for k in range(n) if self.lines[k]]
         after = {a: b for a, b in zip(full, full[1:], strict=False)}
@@ -83,13 +84,32 @@ class Page:
             for j, k in enumerate(own):
                 self.top[k], self.bottom[k] = j, len(own) - 1 - j
         self.after, self.before, self.n_pages = after, before, len(by)
-        self.edge = [k for k in full if self.top[k] < EDGE or self.bottom[k] < EDGE]
+        self.by_page = by
+        self.edge = self.edges(set())
+
+    def edges(self, known: set[int]) -> list[int]:
+        """The lines at the edges of the pages: EDGE at each, not counting those known to be furniture.
+
+        Sets their depths: the places of the outermost lines, for others the place among the lines that are not known.
+        """
+        out = set()
+        self.depth: dict[int, list[int]] = {}
+        for own in self.by_page.values():
+            for side in (own, own[::-1]):
+                n = 0
+                for k in side:
+                    place = (self.top if side is own else self.bottom)[k]
+                    self.depth.setdefault(k, []).append(place if place < EDGE else n)
+                    if n < EDGE:
+                        out.add(k)
+                    n += k not in known
+        return sorted(out)
 
     def pair_features(self, a: int, b: int, grams: dict[int, frozenset]) -> list[float]:
         ga, gb = grams[a], grams[b]
         la, lb = self.lines[a], self.lines[b]
         same = 2 * len(ga & gb) / max(1, len(ga) + len(gb))
-        tops, bottoms = (self.top[a], self.top[b]), (self.bottom[a], self.bottom[b])
+        tops, bottoms = zip(self.depth[a], self.depth[b], strict=True)
         return [
             same, float(len(la)), abs(len(la) - len(lb)), min(max(tops), max(bottoms)), float(la[:1].islower()) + lb[:1].islower(),
             float(la[-1] in ".,;:") + (lb[-1] in ".,;:"), float(len(la.split())), float(skeleton(la) == skeleton(lb)),
@@ -111,6 +131,20 @@ class Page:
                 if self.page[b] != self.page[a] and len(grams[a] & grams[b]) * 2.5 > len(grams[a] | grams[b]) and (self.lines[a] != self.lines[b] or s != last.get(s)):
                     yield a, b, grams
 
+    def pairs_with(self, running: set[int]):
+        """Edge lines that are not known, with each different running line of far pages."""
+        rows = [k for k in self.edge if self.value[k] is None and k not in running]
+        models: dict[str, int] = {}
+        for k in sorted(running):
+            models.setdefault(skeleton(self.lines[k]), k)
+        if not rows or not models:
+            return
+        grams = {k: _grams(skeleton(self.lines[k])) for k in {*rows, *models.values()}}
+        for a in rows:
+            for b in models.values():
+                if abs(self.page[a] - self.page[b]) > NEAR and len(grams[a] & grams[b]) * 2.5 > len(grams[a] | grams[b]):
+                    yield a, b, grams
+
     def number_features(self, k: int) -> list[float]:
         line = self.lines[k]
         value = self.value[k] or 0
@@ -128,20 +162,31 @@ class Page:
 
 
 def furniture(page: Page, pair_model: Boosting, number_model: Boosting) -> tuple[set[int], set[int]]:
-    """Line numbers (from 0) of running lines and of page numbers."""
+    """Line numbers (from 0) of running lines and of page numbers.
+
+    Once lines are known, the next ones behind them are looked at too, and lines of far pages that are misread.
+    """
     running: set[int] = set()
-    found = list(page.pairs())
-    if found:
-        p = pair_model.predict(np.array([page.pair_features(a, b, g) for a, b, g in found]))
-        for (a, b, _), s in zip(found, p, strict=True):
-            if s > 0.5:
-                running |= {a, b}
-    rows = [k for k, v in enumerate(page.value) if v is not None and k in page.top]
     numbers: set[int] = set()
-    if rows:
-        p = number_model.predict(np.array([page.number_features(k) for k in rows]))
-        numbers = {k for k, s in zip(rows, p, strict=True) if s > 0.5}
-    return running, numbers - running
+    rows = [k for k, v in enumerate(page.value) if v is not None and k in page.top]
+    while True:
+        found = list(page.pairs())
+        if found:
+            p = pair_model.predict(np.array([page.pair_features(a, b, g) for a, b, g in found]))
+            for (a, b, _), s in zip(found, p, strict=True):
+                if s > 0.5:
+                    running |= {a, b}
+            far = list(page.pairs_with(running))
+            if far:
+                p = pair_model.predict(np.array([page.pair_features(a, b, g) for a, b, g in far]))
+                running |= {a for (a, _, _), s in zip(far, p, strict=True) if s > 0.5}
+        if rows:
+            p = number_model.predict(np.array([page.number_features(k) for k in rows]))
+            numbers = {k for k, s in zip(rows, p, strict=True) if s > 0.5}
+        edge = page.edges(running | numbers)
+        if len(edge) <= len(page.edge):
+            return running, numbers - running
+        page.edge = edge
 
 
 def misread(word: str, rng: random.Random) -> str:
@@ -165,7 +210,8 @@ def made_up_scan(text: str, rng: random.Random) -> tuple[str, set[int], set[int]
         else:
             now = f"{now} {w}".strip()
     lines.append(now)
-    title = " ".join(words[2:5])[:40].strip(".,;: ") or "Report"
+    title = " ".join(words[2 : rng.choice([5, 5, 5, 5, 5, 4, 6, 7])])[:40].strip(".,;: ") or "Report"
+    below = [" ".join(words[k : k + rng.randint(2, 4)]).strip(".,;: ").capitalize() for k in range(8, 8 + 4 * (rng.choice([1, 2, 4]) if rng.random() < 0.08 else 0), 4)]  # more lines of the head
     if rng.random() < 0.3:
         title = title.upper()
     if rng.random() < 0.3:
@@ -198,8 +244,9 @@ def made_up_scan(text: str, rng: random.Random) -> tuple[str, set[int], set[int]
             numbers.add(len(out))
             out.append(label)
         if head and several and rng.random() < 0.95:
-            running.add(len(out))
-            out.append(line)
+            for x in [line, *below]:
+                running.add(len(out))
+                out.append(x)
         out += page
         if foot and several and not head:
             running.add(len(out))

@@ -20,11 +20,15 @@ from foliospark.llm.boosting import Boosting
 from foliospark.llm.scanlines import CONFUSIONS, HYPHENS, Page, fit_furniture, furniture, misread
 from foliospark.session import ship_package, stage
 
-#: Occurrences that make a word of the corpus a candidate; bounds of the samples that the classifiers are fitted on.
-KNOWN, SAMPLE_TEXTS, SAMPLE_WORDS = 4, 250, 6000
+#: Occurrences that make a word of the corpus known: so many at least, and this share of all words, since the larger the
+#: corpus, the more often it has the same slip.
+KNOWN, KNOWN_SHARE = 4, 2e-8
+#: Bounds of the samples that the classifiers are fitted on.
+SAMPLE_TEXTS, SAMPLE_WORDS = 250, 6000
 _TOKEN = regex.compile(r"[^\s]+")
 _OUTER = regex.compile(r"^[^\p{L}\p{N}@]+|[^\p{L}\p{N}@]+$")
 _PLAIN = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
+_MIXED = regex.compile(r"\p{Lu}{2,}\d\p{Lu}{2,}|\d\p{Ll}|\p{L}@|@\p{Ll}")
 _HAN = regex.compile(r"\p{Han}")
 _CODE = regex.compile(r"[\p{Lu}]{1,4}-?\d[\d.,/-]*|[\d.,:/%-]+")
 
@@ -34,12 +38,16 @@ def _core(token: str) -> str:
 
 
 def checked_words(token: str) -> list[str]:
-    """The words of a token that may be misread, in lower case: none for codes, figures, capitals and Chinese."""
+    """The words of a token that may be misread, in lower case: none for codes, figures and Chinese.
+
+    Of words in capitals only those that hold a figure between letters, and of words of two characters only those of a
+    letter and a figure, since short forms and symbols have no other sign of a misreading.
+    """
     core = _core(token)
-    if len(core) < 3 or _CODE.fullmatch(core) or _HAN.search(core) or core.isupper():
+    if len(core) < 2 or _CODE.fullmatch(core) or _HAN.search(core):
         return []
     parts = regex.split(r"[-‐‑/'’.,;:]", core)
-    return [p.lower() for p in parts if len(p) >= 3 and any(c.isalpha() for c in p) and not p[1:].isupper()]
+    return [p.lower() for p in parts if any(c.isalpha() for c in p) and (len(p) >= 3 and not p[1:].isupper() and not core.isupper() or _MIXED.fullmatch(p))]
 
 
 def _grams(word: str) -> list[str]:
@@ -82,12 +90,10 @@ def reading_cost(word: str, seen: str) -> float:
     if b:
         word, seen = word[:-b], seen[:-b]
     n, m = len(word), len(seen)
-    if n * m > 400:
-        return 9.0
     d = [[99.0] * (m + 1) for _ in range(n + 1)]
     d[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(m + 1):
+        for j in range(max(0, i - 6), min(m, i + 6) + 1):  # farther off the diagonal, more than three characters differ
             here = d[i][j]
             if here >= 9:
                 continue
@@ -225,9 +231,10 @@ class Scans:
         w = F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}+(?:-\p{L}+)?"), F.lit(0))
         clean = rows.where(~F.col("scan"))
         words = F.expr("concat(w, flatten(transform(filter(w, x -> contains(x, '-')), x -> split(x, '-'))))")  # compounds and their parts
-        counts = clean.select(w.alias("w")).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        counts = stage(clean.select(w.alias("w")).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+        total = counts.agg(F.sum("n")).first()[0] or 0
         #: words of the clean texts (compounds with their hyphen) that are known
-        self.known = stage(counts.where((F.col("n") >= KNOWN) & (F.length("word") <= 40)), "known")
+        self.known = counts.where(F.col("n") >= max(KNOWN, KNOWN_SHARE * total))
         top = self.known.orderBy(F.desc("n"), "word").limit(2 * SAMPLE_WORDS).collect()
         compounds = {r["word"]: r["n"] for r in top if "-" in r["word"]}
         vocabulary = {r["word"]: r["n"] for r in top if "-" not in r["word"]}

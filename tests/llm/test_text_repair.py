@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -160,6 +161,30 @@ def test_furniture_on_held_out_scans():
     assert hit / (hit + miss) > 0.9 and hit / (hit + wrong) > 0.9
 
 
+def test_high_headers_and_far_pages():
+    rng = random.Random(6)
+    models = scanlines.fit_furniture([text(c, rng, 60) for c in WORDS for _ in range(15)])
+    head = ["Annual Report of the Office", "Department of Records", "Northern Division", "Volume Three", "Confidential Copy"]
+    body = lambda: [sentence("eng", rng, 8) for _ in range(16)]
+    pages = [[*head, *body(), f"{'—' * 14} {n} {'—' * 14}"] for n in range(1, 5)]
+    page = scanlines.Page("\n\f\n".join("\n".join(p) for p in pages))
+    running, numbers = scanlines.furniture(page, *models)
+    starts = [k for k, x in enumerate(page.lines) if x == head[0]]
+    assert {k + j for k in starts for j in range(5)} <= running
+    assert numbers == {k for k, x in enumerate(page.lines) if x.startswith("——")}
+    # the same header, but misread on a page that is far from all others that have one
+    pages = [[*(["Annual Report of the Office"] if n < 4 else ["Annua1 Report of thc Office"] if n == 12 else []), *body()] for n in range(1, 14)]
+    page = scanlines.Page("\n\f\n".join("\n".join(p) for p in pages))
+    running, _ = scanlines.furniture(page, *models)
+    assert page.lines.index("Annua1 Report of thc Office") in running
+
+
+def test_words_that_are_checked():
+    assert scans.checked_words("REP0RT") == ["rep0rt"] and scans.checked_words("0f") == ["0f"] and scans.checked_words("sig-ned") == ["sig", "ned"]
+    assert not any(map(scans.checked_words, ("REPORT", "of", "A4", "TH-123", "12", "中文", "", "UNO", "3D")))
+    assert scans.reading_cost("donaudampfschifffahrtsgesellschaft" * 3, "d0naudampfschifffahrtsgesellschaft" * 3) == pytest.approx(0.9)
+
+
 def test_scans(spark):
     rng = random.Random(5)
     clean = [(k, text("eng", rng, 12), ("text",)) for k in range(60)]
