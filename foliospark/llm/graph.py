@@ -19,7 +19,7 @@ class Graph:
         self.edges = np.full((self.n, degree + degree // 2), -1, np.int32)
         rng = np.random.default_rng(seed)
         order = rng.permutation(self.n).astype(np.int32)
-        self.entries = order[: min(16, self.n)]
+        self.entries = order[: min(128, self.n)]
         done = min(64, self.n)
         self._all_pairs(order[:done])
         while done < self.n:
@@ -37,7 +37,7 @@ class Graph:
         cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
         self.edges[ids, : self.degree] = self._prune(cand[:, :48], sims[:, :48])
 
-    def search(self, q: np.ndarray, beam: int | None = None, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int | None = None, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of each row of ``q``: the nodes of its final beam and their similarities, the most similar first."""
         beam = beam or self.beam
         b = len(q)
