@@ -20,7 +20,7 @@ class Graph:
         rng = np.random.default_rng(seed)
         order = rng.permutation(self.n).astype(np.int32)
         self.entries = order[: min(128, self.n)]
-        done = min(64, self.n)
+        done = len(self.entries)
         self._all_pairs(order[:done])
         while done < self.n:
             batch = order[done : done + max(16, min(512, done // 8))]

@@ -30,6 +30,7 @@ def test_graph_recall():
     _, top = truth(x, 5)
     found, _ = g.search(u[:300], 64)
     assert np.mean([len(set(found[i][1:6]) & set(top[i])) / 5 for i in range(300)]) > 0.9
+    assert not (g.edges == np.arange(len(u))[:, None]).any()  # no node is its own neighbour
 
 
 @pytest.fixture(scope="module")
