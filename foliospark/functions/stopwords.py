@@ -21,3 +21,8 @@ def stopwords(language: str) -> list[str]:
     """The stop words of a language, in two or three letters; English where the language has none."""
     code = language.lower()
     return STOPWORDS.get(SHORT_CODES.get(code, code), STOPWORDS["en"]).split()
+
+
+def label_code(label: str | None) -> str:
+    """The code at the start of a language label (``de-AT``, ``deu_x``), in lower case; "" for null."""
+    return (label or "").strip().lower().replace("_", "-").partition("-")[0]

@@ -126,6 +126,17 @@ def has_cjk(c: Column) -> Column:
     return c.rlike("[一-鿿]")
 
 
+def valid_utf8(c: Column) -> Column:
+    """Whether bytes (or a text's bytes) are well-formed UTF-8."""
+    return F.is_valid_utf8(c.cast("string"))
+
+
+def join_words(left: Column, right: Column) -> Column:
+    """Two texts joined with a space, but without one where Han characters meet."""
+    tight = left.rlike("[一-鿿]$") & right.rlike("^[一-鿿]")
+    return F.when(tight, F.concat(left, right)).otherwise(F.concat_ws(" ", left, right))
+
+
 def snake_to_camel(key: Column) -> Column:
     """mime_type to mimeType."""
     parts = F.split(key, "_")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.session import ship_package
 
@@ -149,3 +150,25 @@ def document_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     starts = F.transform(F.sequence(F.lit(0), F.size(pages) - 1), lambda k: F.aggregate(F.slice(pages, F.lit(1), k), F.lit(0), lambda a, p: a + F.octet_length(p) + 1))
     rows = df.select(df[id_col].alias("id"), F.posexplode(F.arrays_zip(pages.alias("text"), starts.alias("byte_start"))).alias("k", "p")).where(F.col("p").isNotNull())
     return rows.select("id", (F.col("k") + 1).alias("page_number"), F.col("p.byte_start"), (F.col("p.byte_start") + F.octet_length("p.text")).alias("byte_end"), F.col("p.text"))
+
+
+def heading_context(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The headings that are open at each line, as of join by windows: id, line_no (from 1), context (texts joined by `` > ``).
+
+    A heading closes those of its level and below. Lines before the first heading, and lines of code fences that only look
+    like headings, open none. Null texts have no lines; lines without an open heading are left out.
+    """
+    lines = df.select(df[id_col].alias("id"), F.posexplode(F.split(df[text_col], "\n")).alias("no", "line"))
+    order = Window.partitionBy("id").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fence = F.col("line").startswith("```")
+    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(order))
+    level = F.when((F.col("fences") % 2 == 0) & ~fence, F.nullif(F.length(F.regexp_extract("line", r"^(#{1,6})[ \t]+[^ \t\r]", 1)), F.lit(0)))
+    lines = lines.withColumn("level", level).withColumn("title", F.trim(F.regexp_replace("line", r"^#+[ \t]+|\r$", "")))
+    for k in range(1, 7):
+        lines = lines.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.struct("no", "title")), ignorenulls=True).over(order))
+    newest, parts = F.lit(-1), []
+    for k in range(1, 7):
+        parts.append(F.when(F.col(f"h{k}.no") > newest, F.col(f"h{k}.title")))
+        newest = F.greatest(newest, F.coalesce(F.col(f"h{k}.no"), F.lit(-1)))
+    context = F.array_join(F.array_compact(F.array(*parts)), " > ")
+    return lines.select("id", (F.col("no") + 1).alias("line_no"), context.alias("context")).where("context != ''")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliospark.session import ship_package
+
 TINY = 1.1920929e-07
 
 
@@ -54,17 +60,44 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 def top_k_of_queries(df: DataFrame, id_col: str, vector_col: str, step: int = 20, k: int = 5, max_queries: int = 20_000) -> DataFrame:
     """Exact search: the k most similar rows of every row whose id is divisible by ``step``, against all rows.
 
-    The query set is counted first and goes out in blocks of at most ``max_queries`` vectors. query_id, rank,
-    neighbour_id, similarity (rounded to six places); ties go to the smaller id.
+    The query set is counted first and goes out in blocks of at most about ``max_queries`` vectors. Every task multiplies
+    its rows with a block and keeps the k best of each query; the best of all tasks are ranked then. query_id, rank,
+    neighbour_id, similarity (rounded to six places); ties go to the smaller id. Null and empty vectors take no part.
     """
-    rows = df.select(df[id_col].alias("id"), l2_normalize(df[vector_col]).alias("v")).where(F.size("v") > 0)
+    ship_package(df.sparkSession)
+    rows = df.select(df[id_col].alias("id"), df[vector_col].cast("array<double>").alias("v")).where((F.size("v") > 0) & F.col("id").isNotNull())
     queries = rows.where(F.col("id") % step == 0)
     blocks = max(1, -(-queries.count() // max_queries))
-    out = None
+    schema = "query_id bigint, neighbour_id bigint, similarity double"
+    best = None
     for b in range(blocks):
-        some = queries.where(F.pmod(F.hash("id"), F.lit(blocks)) == b).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-        pairs = rows.crossJoin(F.broadcast(some)).where("id != query_id").select("query_id", F.col("id").alias("neighbour_id"), F.round(dot(F.col("v"), F.col("q")), 6).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id"))
-        part = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "similarity")
-        out = part if out is None else out.union(part)
-    return out
+        some = queries.where(F.pmod(F.hash("id"), F.lit(blocks)) == b).toPandas()
+        part = rows.mapInPandas(_block_search(some["id"].to_numpy(np.int64), _at_length_one(some["v"]), k), schema)
+        best = part if best is None else best.union(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "similarity")
+
+
+def _at_length_one(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.to_list(), np.float64)
+    if not len(x):
+        return np.zeros((0, 1))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(norm <= TINY, x, x / np.maximum(norm, TINY))
+
+
+def _block_search(ids: np.ndarray, q: np.ndarray, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"query_id": ids[:0], "neighbour_id": ids[:0], "similarity": np.zeros(0)})
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                other = batch["id"].iloc[at : at + 4096].to_numpy(np.int64)
+                sims = np.round(q @ _at_length_one(batch["v"].iloc[at : at + 4096]).T, 6)
+                sims[ids[:, None] == other[None, :]] = -9
+                least = np.partition(sims, -min(k, len(other)), axis=1)[:, -min(k, len(other))]
+                r, c = np.nonzero((sims >= least[:, None]) & (sims > -9))
+                new = pd.DataFrame({"query_id": ids[r], "neighbour_id": other[c], "similarity": sims[r, c]})
+                held = pd.concat((held, new)).sort_values(["query_id", "similarity", "neighbour_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        yield held
+
+    return run

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliospark.session import ship_package
+
+
+def box_of(g: Column) -> Column:
+    """Box of a geometry: of a rectangle, or around its points; null without either."""
+    xs, ys = F.transform(g["points"], lambda p: p["x"].cast("double")), F.transform(g["points"], lambda p: p["y"].cast("double"))
+    around = F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    side = lambda a, b: (g[a] + g[b]).cast("double")
+    plain = F.struct(g["left"].cast("double").alias("x0"), g["top"].cast("double").alias("y0"), side("left", "width").alias("x1"), side("top", "height").alias("y1"))
+    return F.when(g["left"].isNotNull(), plain).when(F.size(g["points"]) > 0, around)
+
 
 def area(b: Column) -> Column:
     return F.greatest(b["x1"] - b["x0"], F.lit(0.0)) * F.greatest(b["y1"] - b["y0"], F.lit(0.0))
@@ -63,6 +75,49 @@ def suppress(boxes: list[tuple], scores: list[float], threshold: float = 0.5) ->
     return keep
 
 
+def suppress_boxes(df: DataFrame, keys: list[str], id_col: str, box: Column, score: Column, threshold: float = 0.5) -> DataFrame:
+    """Greedy non-maximum suppression inside each group of ``keys`` (a page): the keys, id and score of the boxes that stay.
+
+    Null boxes are left out, null scores come last, ties go to the smaller id.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(*keys, df[id_col].alias("id"), box.alias("box"), F.coalesce(score, F.lit(float("-inf"))).alias("score")).where(F.col("box").isNotNull())
+    rows = rows.select(*keys, "id", "box.x0", "box.y0", "box.x1", "box.y1", "score")
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("id")
+        keep = suppress(list(page[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), list(page["score"]), threshold)
+        return page.iloc[keep][[*keys, "id", "score"]]
+
+    return rows.groupBy(*keys).applyInPandas(run, rows.select(*keys, "id", "score").schema)
+
+
+def heading_levels_of(df: DataFrame, doc_col: str, id_col: str, size: Column, text: Column, k: int = 4) -> DataFrame:
+    """Heading level of every block of a document by the cluster of its font size: doc, id, cluster, level. Null sizes are left out."""
+    ship_package(df.sparkSession)
+    rows = df.select(df[doc_col].alias("doc"), df[id_col].alias("id"), size.cast("double").alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("n")).where("size IS NOT NULL")
+
+    def run(doc: pd.DataFrame) -> pd.DataFrame:
+        doc = doc.sort_values("id")
+        sizes = list(doc["size"])
+        return pd.DataFrame({"doc": doc["doc"], "id": doc["id"], "cluster": font_clusters(sizes, k), "level": heading_levels(sizes, list(doc["n"]), k)})
+
+    return rows.groupBy("doc").applyInPandas(run, "doc bigint, id bigint, cluster int, level int")
+
+
+def nearest_band(df: DataFrame, keys: list[str], id_col: str, place: Column, width: float = 50.0) -> DataFrame:
+    """The nearest band of each place within its group: bands are the smallest places of all stretches of ``width``.
+
+    The keys, id, band, distance. Ties go to the smaller band; null places are left out. The bands of a group are few, so
+    they are kept as one array beside each row instead of a join of rows with rows.
+    """
+    rows = df.select(*keys, df[id_col].alias("id"), place.cast("double").alias("place")).where("place IS NOT NULL")
+    firsts = rows.groupBy(*keys, F.floor(F.col("place") / width).alias("stretch")).agg(F.min("place").alias("band"))
+    bands = firsts.groupBy(*keys).agg(F.collect_list("band").alias("bands"))
+    near = F.array_min(F.transform("bands", lambda b: F.struct(F.abs(b - F.col("place")).alias("distance"), b.alias("band"))))
+    return rows.join(bands, keys).withColumn("n", near).select(*keys, "id", "n.band", "n.distance")
+
+
 def font_clusters(sizes: list[float], k: int = 4, rounds: int = 100) -> list[int]:
     """Cluster number of each font size by k-means in one dimension, the largest size first."""
     distinct = sorted(set(sizes), reverse=True)

@@ -1,4 +1,4 @@
-"""Keywords of documents: RAKE as joins and windows, RAKE and YAKE as kernels."""
+"""Keywords of documents by kernels: RAKE and YAKE."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from foliospark.functions.stopwords import stopwords
+from foliospark.functions.stopwords import label_code, stopwords
 from foliospark.functions.text import word_count
 from foliospark.session import ship_package
 
@@ -21,27 +21,52 @@ LEAST_WORDS = 10
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
-def rake_relational(df: DataFrame, id_col: str, text_col: str, language: str = "en", top: int = 10, longest: int = 3) -> DataFrame:
+#: Words and single other signs of a text in lower case.
+RAKE_TOKEN = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N} ]")
+
+
+def phrase_scores(text: str, stop: frozenset[str], top: int, longest: int) -> list[tuple[str, float]]:
+    """Phrases between stop words and other signs with their scores, degree over frequency of their words, 0 to 1; the best first."""
+    phrases: list[list[str]] = [[]]
+    for w in RAKE_TOKEN.findall(text):
+        if w in stop or not w[0].isalnum() and not regex.match(r"[\p{L}\p{N}]", w):
+            if phrases[-1]:
+                phrases.append([])
+        else:
+            phrases[-1].append(w)
+    if not phrases[-1]:
+        phrases.pop()
+    count, degree = Counter(), Counter()
+    for p in phrases:
+        for w in p:
+            count[w] += 1
+            degree[w] += len(p)
+    raw = {" ".join(p): sum(degree[w] / count[w] for w in p) for p in phrases if len(p) <= longest}
+    return _scaled(raw, top, 0.0)
+
+
+def rake_phrases(df: DataFrame, id_col: str, text_col: str, language: Column | None = None, top: int = 10, longest: int = 3) -> DataFrame:
     """RAKE: phrases between stop words and punctuation, scored by degree over frequency of their words, 0 to 1 in each document.
 
-    id, keyword, score, rank. Ties go to the smaller phrase. Null texts and texts of fewer than ten words have none. Each
-    document's words meet in one window, so the work splits by document.
+    id, keyword, score, rank. Words are runs of letters and digits of any script; the stop words are those of ``language``
+    (a label), English ones where it is null or has none. Ties go to the smaller phrase. Null texts and texts of fewer
+    than ten words have none. Row by row, so nothing is shuffled.
     """
-    text = F.lower(df[text_col])
-    rows = df.select(df[id_col].alias("id"), text.alias("t")).where(word_count(F.col("t")) >= LEAST_WORDS)
-    parts = rows.select("id", F.posexplode(F.regexp_extract_all("t", F.lit(r"[a-z0-9]+|[^a-z0-9 ]"), F.lit(0))).alias("pos", "w"))
-    stop = ~F.col("w").rlike("^[a-z0-9]+$") | F.col("w").isin(stopwords(language))
-    order = Window.partitionBy("id").orderBy("pos")
-    runs = parts.withColumn("stop", stop).withColumn("run", F.sum(F.col("stop").cast("int")).over(order)).where("NOT stop")
-    phrases = runs.groupBy("id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("phrase"), F.count("*").alias("n"))
-    words = phrases.select("id", "n", F.explode(F.split("phrase", " ")).alias("w")).groupBy("id", "w").agg((F.sum("n") / F.count("*")).alias("weight"))
-    some = phrases.where(F.col("n") <= longest).select("id", "phrase").distinct()
-    scored = some.select("id", "phrase", F.explode(F.split("phrase", " ")).alias("w")).join(words, ["id", "w"]).groupBy("id", "phrase").agg(F.sum("weight").alias("raw"))
-    doc = Window.partitionBy("id")
-    low, high = F.min("raw").over(doc), F.max("raw").over(doc)
-    scored = scored.withColumn("score", F.when(high == low, 1.0).otherwise((F.col("raw") - low) / (high - low)))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "phrase"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("id", F.col("phrase").alias("keyword"), F.round("score", 9).alias("score"), "rank")
+    ship_package(df.sparkSession)
+    label = F.lit(None).cast("string") if language is None else language
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists: dict[str | None, frozenset[str]] = {}
+        for batch in batches:
+            rows = []
+            for doc, text, code in zip(batch["id"], batch["t"], batch["language"], strict=True):
+                if code not in lists:
+                    lists[code] = frozenset(stopwords(label_code(code)))
+                rows += [(doc, k, round(s, 9), r) for r, (k, s) in enumerate(phrase_scores(text, lists[code], top, longest), 1)]
+            yield pd.DataFrame(rows, columns=["id", "keyword", "score", "rank"])
+
+    source = df.select(df[id_col].alias("id"), F.lower(df[text_col]).alias("t"), label.alias("language")).where(word_count(F.col("t")) >= LEAST_WORDS)
+    return source.mapInPandas(run, "id bigint, keyword string, score double, rank int")
 
 
 def rake(text: str, language: str = "en", top: int = 10, longest: int = 3, least: float = 0.0) -> list[tuple[str, float]]:

@@ -39,6 +39,15 @@ def table_gfm(cells: Column) -> Column:
     return F.when(cells.isNull() | (F.size(cells) == 0) | (width == 0), "").otherwise(out)
 
 
+def table_grid(cells: Column) -> Column:
+    """Cells as an array of (row, column, text, is_header, row_span, column_span); the first row is the header."""
+    row = lambda r, k: F.transform(
+        r,
+        lambda x, j: F.struct(k.alias("row"), j.alias("column"), F.coalesce(x, F.lit("")).alias("text"), (k == 0).alias("is_header"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span")),
+    )
+    return F.flatten(F.transform(cells, row))
+
+
 def table_tsv(cells: Column) -> Column:
     """Rows as lines, cells between tabs."""
     return F.coalesce(F.array_join(F.transform(cells, lambda r: F.array_join(r, "\t", "")), "\n"), F.lit(""))

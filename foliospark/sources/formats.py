@@ -18,6 +18,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from foliospark.sources import html as html_source
 from foliospark.sources import structured
 
@@ -607,3 +610,18 @@ def write_csv(rows: list[list[str]]) -> str:
     f = io.StringIO()
     csv.writer(f).writerows(rows)
     return f.getvalue()
+
+
+def extractor_choice(df: DataFrame, mime_col: str) -> DataFrame:
+    """Which entry of the registry serves each different media type: mime_type, pattern, priority (nulls where none does).
+
+    An exact type goes before ``type/*``, then the higher priority. The registry is small and goes to all tasks.
+    """
+    spark = df.sparkSession
+    entries = spark.createDataFrame([(m, p) for m, of in REGISTRY.items() for p, _ in of], "pattern string, priority int")
+    types = df.select(F.lower(F.trim(F.split(df[mime_col], ";")[0])).alias("mime_type")).where("mime_type IS NOT NULL").distinct()
+    wild = F.concat(F.split("mime_type", "/")[0], F.lit("/*"))
+    asked = types.select("mime_type", F.explode(F.array_distinct(F.array(F.col("mime_type"), wild))).alias("pattern"))
+    best = F.max_by(F.struct("pattern", "priority"), F.struct(F.col("pattern") == F.col("mime_type"), "priority"))
+    served = asked.join(F.broadcast(entries), "pattern").groupBy("mime_type").agg(best.alias("b"))
+    return types.join(served, "mime_type", "left").select("mime_type", "b.pattern", "b.priority")

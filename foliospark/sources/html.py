@@ -233,17 +233,3 @@ def html_pages(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     schema = "id bigint, markdown string, metadata map<string,string>, links array<struct<uri: string, label: string>>, images array<struct<source: string, alt: string>>, tables array<array<array<string>>>, json_ld array<string>"
     source = df.select(df[id_col].alias("id"), df[html_col].alias("html")).where(F.col("html").isNotNull())
     return source.mapInPandas(run, schema)
-
-
-def title_and_meta(html):
-    """Struct of title, description and language of a page, by expressions only; empty strings where missing."""
-    one = lambda p: F.regexp_extract(html, p, 1)
-    return F.struct(
-        F.trim(one(r"(?is)<title[^>]*>([^<]*)</title>")).alias("title"), one(r"(?i)<meta name=\"description\" content=\"([^\"]*)\"").alias("description"),
-        one(r"(?i)<html[^>]* lang=\"([^\"]*)\"").alias("language"),
-    )
-
-
-def links(html):
-    """Array of link targets of a page, by expressions only."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a [^>]*href="([^"]+)"'), F.lit(1))

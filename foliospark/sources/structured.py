@@ -5,8 +5,14 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+from collections.abc import Iterator
 from xml.parsers import expat
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from foliospark.session import ship_package
+
 # Names of fields that hold text.
 TEXT_FIELDS = {
     "title", "name", "subject", "description", "content", "body", "text", "message", "payload", "data", "properties", "metadata", "value", "result",
@@ -147,3 +153,21 @@ def title_of(metadata: dict, text: str) -> str | None:
         return str(metadata["title"])
     m = re.search(r"(?m)^#\s+(.+)$", text)
     return m[1].strip() if m else None
+
+
+def json_texts(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """Lines ``path: value`` of every JSON text and its text fields: id, content, fields (path: value). Null and bad texts give nulls."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["id"], batch["json"], strict=True):
+                try:
+                    content, fields = extract(json.loads(text))
+                except (TypeError, ValueError, RecursionError):
+                    content, fields = None, []
+                rows.append((doc, content, "\n".join(f"{k}: {v}" for k, v in fields) if content is not None else None))
+            yield pd.DataFrame(rows, columns=["id", "content", "fields"])
+
+    return df.select(df[id_col].alias("id"), df[json_col].alias("json")).mapInPandas(run, "id bigint, content string, fields string")

@@ -57,7 +57,7 @@ def test_keywords(spark):
     p, r, f = keywords.relevance([k for k, _ in got], ["machine learning", "data"])
     assert p >= 0.3 and r >= 0.3 and f >= 0.3
     df = docs(spark, text, "too short", None)
-    assert {x["id"] for x in keywords.rake_relational(df, "doc_id", "text").collect()} == {0}
+    assert {x["id"] for x in keywords.rake_phrases(df, "doc_id", "text").collect()} == {0}
     assert {x["id"] for x in keywords.keywords(df, "doc_id", "text").collect()} == {0}
 
 
@@ -118,3 +118,33 @@ def test_elements_and_rendering(spark):
     assert render.annotate("bold it", [(0, 4, "bold"), (5, 7, "link:u")]) == "**bold** [it](u)"
     assert render.number_footnotes("a[^z] b[^q]\n[^q]: x\n[^z]: y") == "a[^1] b[^2]\n[^2]: x\n[^1]: y"
     assert render.toon({"a": 1, "rows": [{"x": 1, "y": "b"}, {"x": 2, "y": "c"}]}) == "a: 1\nrows[2]{x,y}:\n  1,b\n  2,c"
+
+
+def test_rake_of_any_script(spark):
+    df = spark.createDataFrame([(1, "Die geprüfte Meldung für den Bericht und die geprüfte Meldung ist gut", "de-AT"), (2, "важный отчёт, важный отчёт и новый список страниц для проверки всех таблиц", "rus"), (3, None, None)], "id bigint, text string, lang string")
+    got = {(r["id"], r["keyword"]) for r in keywords.rake_phrases(df, "id", "text", F.col("lang")).collect()}
+    assert (1, "geprüfte meldung") in got and (2, "важный отчёт") in got and not any("gepr" == k for _, k in got)
+
+
+def test_exact_search_keeps_ties_and_small_ids(spark):
+    rows = [(k, [1.0, 0.0]) for k in range(0, 9)] + [(20, [0.0, 1.0]), (21, [0.6, 0.8]), (22, None), (23, []), (None, [1.0, 0.0]), (24, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(3)
+    got = {}
+    for r in embeddings.top_k_of_queries(df, "id", "v", k=3).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["neighbour_id"], r["similarity"]))
+    assert got == {0: [(1, 1.0), (2, 1.0), (3, 1.0)], 20: [(21, 0.8), (0, 0.0), (1, 0.0)]}
+    assert embeddings.top_k_of_queries(df.limit(0), "id", "v").count() == 0
+
+
+def test_boxes_suppression_and_levels(spark):
+    kind = "struct<left: int, top: int, width: int, height: int, points: array<struct<x: int, y: int>>>"
+    rows = [(1, 1, (0, 0, 10, 10, None), 0.9), (1, 2, (1, 1, 10, 10, None), 0.8), (1, 3, (None, None, None, None, [(20, 0), (30, 12), (25, -1), (22, 3)]), None), (1, 4, None, 1.0), (2, 5, (0, 0, 5, 5, None), 0.1)]
+    df = spark.createDataFrame(rows, f"page int, id int, geometry {kind}, score double").withColumn("box", geometry.box_of(F.col("geometry")))
+    assert tuple(df.where("id = 3").first()["box"]) == (20.0, -1.0, 30.0, 12.0)
+    kept = geometry.suppress_boxes(df, ["page"], "id", F.col("box"), F.col("score"))
+    assert sorted(r["id"] for r in kept.collect()) == [1, 3, 5]
+    sizes = spark.createDataFrame([(1, 1, 24.0, "Head"), (1, 2, 10.0, "long text " * 9), (1, 3, 10.0, "more text"), (1, 4, None, "x"), (2, 1, 5.0, None)], "doc int, id int, size double, text string")
+    levels = {(r["doc"], r["id"]): r["level"] for r in geometry.heading_levels_of(sizes, "doc", "id", F.col("size"), F.col("text")).collect()}
+    assert levels == {(1, 1): 1, (1, 2): 0, (1, 3): 0, (2, 1): 0}
+    bands = geometry.nearest_band(df, ["page"], "id", F.col("box.x0")).collect()
+    assert {(r["id"], r["band"]) for r in bands} == {(1, 0.0), (2, 0.0), (3, 0.0), (5, 0.0)}
