@@ -34,7 +34,7 @@ MIME_TYPES = {
     "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tiff": "image/tiff", "tif": "image/tiff", "webp": "image/webp",
 }
 #: First bytes of image files, in hexadecimal.
-SIGNATURES = [("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff")]
+SIGNATURES = [("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"), ("0000000C6A502020", "image/jp2"), ("974A4232", "image/x-jbig2"), *[(f"50{n}0A", "image/x-portable-anymap") for n in range(31, 37)]]
 
 
 def _any(c: Column, words: list[str]) -> Column:

@@ -41,6 +41,11 @@ def level_of(name: str | None) -> str:
     return low if low in LEVELS else "moderate"
 
 
+def collapse_same(c: Column) -> Column:
+    """Runs of one and the same of ``! ? ,`` to a single one; mixed runs stay."""
+    return F.regexp_replace(c, r"([!?,])\1+", "$1")
+
+
 def light(c: Column) -> Column:
     """Punctuation runs, HTML comments within a line, runs of spaces and of line ends."""
     out = F.regexp_replace(collapse_punctuation(c), "<!--[^\n]*?-->", "")

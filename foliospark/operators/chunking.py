@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -17,13 +18,14 @@ from foliospark.session import ship_package
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in characters. ``kind``: text, markdown, yaml, or fixed."""
+    """Sizes in characters, or in words where ``sizing`` is ``words``. ``kind``: text, markdown, yaml, or fixed."""
 
     max_characters: int = 1000
     overlap: int = 200
     trim: bool = True
     kind: str = "text"
     prepend_headings: bool = False
+    sizing: str = "characters"
 
     def __post_init__(self) -> None:
         if self.max_characters < 1 or self.overlap < 0 or self.overlap >= self.max_characters:
@@ -73,9 +75,29 @@ def _pieces(text: str, start: int, limit: int, levels: list[re.Pattern]) -> Iter
             at = end
 
 
+def _word_slices(text: str, config: ChunkConfig, levels: list[re.Pattern]) -> list[tuple[int, int]]:
+    """Slices of at most max_characters words, cut at the widest boundary within the second half where there is one."""
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    limit, overlap, out, k = config.max_characters, config.overlap, [], 0
+    marks = [[m.end() for m in level.finditer(text)] for level in levels]
+    while k < len(words):
+        j = min(len(words), k + limit)
+        if j < len(words):
+            for ends in marks:
+                at = bisect.bisect_right(ends, words[j][0]) - 1
+                if at >= 0 and ends[at] > words[k + limit // 2][0]:
+                    j = bisect.bisect_left(words, (ends[at], 0))
+                    break
+        out.append((words[k][0], words[j - 1][1]))
+        k = j if j == len(words) else max(k + 1, j - overlap)
+    return out
+
+
 def semantic_slices(text: str, config: ChunkConfig) -> list[tuple[int, int]]:
     """Slices of at most max_characters that end at paragraph, line, sentence or word boundaries where there are any."""
     levels = _MARKDOWN if config.kind == "markdown" else _LEVELS
+    if config.sizing == "words":
+        return _word_slices(text, config, levels)
     parts = list(_pieces(text, 0, config.max_characters - config.overlap or 1, levels))
     out: list[tuple[int, int]] = []
     k = 0
@@ -159,9 +181,10 @@ CHUNK_SCHEMA = (
 )
 
 
-def chunk(df: DataFrame, id_col: str, text_col: str, config: ChunkConfig | None = None) -> DataFrame:
+def chunk(df: DataFrame, id_col: str, text_col: str, config: ChunkConfig | None = None, data_format: Column | None = None) -> DataFrame:
     """Chunks of every text with dense index, byte offsets, open headings and kind.
 
+    Rows whose ``data_format`` is yaml or json are cut as mappings under kind ``text`` too.
     Null and blank texts have no chunks. Texts that are no mapping are split as text also under kind ``yaml``, whose
     sections have the offsets 0.
     """
@@ -171,8 +194,8 @@ def chunk(df: DataFrame, id_col: str, text_col: str, config: ChunkConfig | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                sections = data_sections(text, config.max_characters) if config.kind == "yaml" else None
+            for doc, text, is_data in zip(batch["id"], batch["text"], batch["is_data"], strict=True):
+                sections = data_sections(text, config.max_characters) if config.kind == "yaml" or is_data and config.kind == "text" else None
                 if sections is not None:
                     rows += [(doc, k, len(sections), s, 0, 0, []) for k, s in enumerate(sections)]
                     continue
@@ -189,7 +212,8 @@ def chunk(df: DataFrame, id_col: str, text_col: str, config: ChunkConfig | None
                     rows.append((doc, k, len(slices), content, place, place + len(text[a:b].encode()), [{"level": lv, "text": h} for lv, h in context]))
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "total_chunks", "content", "byte_start", "byte_end", "headings"])
 
-    source = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where(F.length(F.trim("text")) > 0)
+    is_data = F.lit(False) if data_format is None else F.coalesce(F.lower(data_format).isin("yaml", "json"), F.lit(False))
+    source = df.select(df[id_col].alias("id"), df[text_col].alias("text"), is_data.alias("is_data")).where(F.length(F.trim("text")) > 0)
     out = source.mapInPandas(run, CHUNK_SCHEMA)
     return out.withColumn("chunk_type", chunk_type(F.col("content"), F.transform("headings", lambda h: h["text"])))
 

@@ -43,13 +43,42 @@ class Extracted:
 
 
 def decode(data: bytes, label: str | None = None) -> str:
-    """Text of bytes: the stated encoding, a byte order mark, UTF-8, then Windows-1252; BOM dropped."""
+    """Text of bytes: the stated encoding, a byte order mark, UTF-8, then the likeliest of FALLBACKS; BOM dropped."""
     for name in filter(None, (label, "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else None, "utf-8-sig")):
         try:
             return data.decode(name)
         except (LookupError, UnicodeDecodeError):
             continue
-    return data.decode("cp1252", "replace")
+    scored = [(confidence(t), -k, t) for k, name in enumerate(FALLBACKS) if (t := _try(data, name)) is not None]
+    good = [x for x in scored if x[0] > 0.5]
+    return max(good)[2] if good else data.decode("cp1252", "replace")
+
+
+#: Encodings that are tried in this order where bytes are no UTF-8; equal confidence goes to the earlier.
+FALLBACKS = ["cp1252", "cp1250", "cp1251", "koi8-r", "shift_jis", "euc-kr", "gb18030", "big5"]
+_SCRIPTS = [re.compile(p) for p in ("[A-Za-z\u00c0-\u024f]", "[\u0400-\u04ff]", "[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7af\uff00-\uffef]")]
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]|[^\\W\\d_][\u00a1-\u00bf\u00d7\u00f7]+[^\\W\\d_]|[a-zа-я][A-ZА-Я]|(?i:[a-z][а-я]|[а-я][a-z])|[A-Za-z][\u4e00-\u9fff]")
+
+
+_HEAPED = re.compile("[\u00c0-\u024f]{3,}")
+
+
+def _try(data: bytes, name: str) -> str | None:
+    try:
+        return data.decode(name)
+    except UnicodeDecodeError:
+        return None
+
+
+def confidence(text: str) -> float:
+    """How well a decoded text holds together, 0 to 1: letters of one script beyond ASCII, few signs inside words."""
+    beyond = [c for c in text if c > "\x7f"]
+    if not beyond:
+        return 1.0
+    joined = "".join(beyond)
+    most = max(len(p.findall(joined)) for p in _SCRIPTS) / len(beyond)
+    heaped = sum(map(len, _HEAPED.findall(text)))  # Latin words are not made of accented letters
+    return max(0.0, most - (len(_ODD.findall(text)) + heaped) / len(beyond))
 
 
 def _text(data: bytes) -> Extracted:
@@ -605,6 +634,70 @@ def extract_bytes(data: bytes, mime: str) -> Extracted:
     return out
 
 
+def _image(data: bytes) -> Extracted:
+    """Format and size of an image from its header; its text is a matter of a registered reader."""
+    kind = size = None
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        kind, size = "png", struct.unpack(">II", data[16:24])
+    elif data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        kind, size = "gif", struct.unpack("<HH", data[6:10])
+    elif data[:2] == b"BM" and len(data) >= 26:
+        w, h = struct.unpack("<ii", data[18:26])
+        kind, size = "bmp", (w, abs(h))
+    elif data[:2] == b"\xff\xd8":
+        kind, at = "jpeg", 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            mark, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4])
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                size = struct.unpack(">HH", data[at + 5 : at + 9])[::-1]
+                break
+            at += 2 + length
+    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        kind = "webp"
+        if data[12:16] == b"VP8X" and len(data) >= 30:
+            size = tuple(int.from_bytes(data[k : k + 3], "little") + 1 for k in (24, 27))
+        elif data[12:16] == b"VP8L" and len(data) >= 25:
+            bits = int.from_bytes(data[21:25], "little")
+            size = ((bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1)
+        elif data[12:16] == b"VP8 " and len(data) >= 30:
+            size = tuple(x & 0x3FFF for x in struct.unpack("<HH", data[26:30]))
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        kind, order = "tiff", "<" if data[:2] == b"II" else ">"
+        (at,) = struct.unpack(f"{order}I", data[4:8])
+        tags = {}
+        for k in range(struct.unpack(f"{order}H", data[at : at + 2])[0] if at + 2 <= len(data) else 0):
+            entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
+            if len(entry) == 12:
+                tag, form = struct.unpack(f"{order}HH", entry[:4])
+                tags[tag] = struct.unpack(f"{order}H", entry[8:10])[0] if form == 3 else struct.unpack(f"{order}I", entry[8:12])[0]
+        size = (tags[256], tags[257]) if 256 in tags and 257 in tags else None
+    elif re.match(rb"P[1-6]\s", data):
+        kind = "pnm"
+        m = re.match(rb"P[1-6](?:\s|#[^\n]*\n)+(\d+)\s+(\d+)", data)
+        size = (int(m[1]), int(m[2])) if m else None
+    elif data[:12] == b"\0\0\0\x0cjP  \r\n\x87\n":
+        kind, at = "jp2", data.find(b"ihdr")
+        size = struct.unpack(">II", data[at + 4 : at + 12])[::-1] if at > 0 and at + 12 <= len(data) else None
+    elif data[:8] == b"\x97JB2\r\n\x1a\n":
+        kind = "jbig2"
+    if kind is None:
+        raise ExtractionError("no image")
+    return Extracted("", {"format": kind} | ({"width": str(size[0]), "height": str(size[1])} if size else {}))
+
+
+register("image/*", _image, 40)
+
+
+def register_ocr(function: Callable[[bytes], str], priority: int = 60) -> None:
+    """Adds a reader of images: its text goes with the size and format from the header."""
+
+    def read(data: bytes) -> Extracted:
+        head = _image(data)
+        return Extracted(function(data), head.metadata)
+
+    register("image/*", read, priority)
+
+
 def write_csv(rows: list[list[str]]) -> str:
     """Rows as CSV text."""
     f = io.StringIO()

@@ -148,3 +148,21 @@ def test_boxes_suppression_and_levels(spark):
     assert levels == {(1, 1): 1, (1, 2): 0, (1, 3): 0, (2, 1): 0}
     bands = geometry.nearest_band(df, ["page"], "id", F.col("box.x0")).collect()
     assert {(r["id"], r["band"]) for r in bands} == {(1, 0.0), (2, 0.0), (3, 0.0), (5, 0.0)}
+
+
+def test_chunks_by_words_and_data_format(spark):
+    text = "One two three. Four five six seven. Eight nine ten eleven twelve."
+    c = chunking.ChunkConfig(6, 1, sizing="words")
+    got = [text[a:b] for a, b in chunking.semantic_slices(text, c)]
+    assert all(len(g.split()) <= 6 for g in got) and got[0] == "One two three. Four five six" or got[0].endswith(".")
+    words = {w for g in got for w in g.split()}
+    assert words == set(text.split()) and chunking.semantic_slices("", c) == []
+    df = spark.createDataFrame([(1, '{"a": {"b": 1}}', "JSON"), (2, '{"a": {"b": 1}}', None)], "id bigint, text string, f string")
+    rows = {r["id"]: r["content"] for r in chunking.chunk(df, "id", "text", data_format=F.col("f")).collect()}
+    assert rows == {1: "# a > b\n\n1", 2: '{"a": {"b": 1}}'}
+
+
+def test_heading_context_closes_lower_levels(spark):
+    text = "intro\n# A\nx\n## B\ny\n```\n# no\n```\n# C\nz\r\n#tag"
+    got = {r["line_no"]: r["context"] for r in elements.heading_context(docs(spark, text, None, ""), "doc_id", "text").collect()}
+    assert got == {2: "A", 3: "A", 4: "A > B", 5: "A > B", 6: "A > B", 7: "A > B", 8: "A > B", 9: "C", 10: "C", 11: "C"}

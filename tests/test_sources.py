@@ -94,3 +94,37 @@ def test_email_and_helpers():
     assert formats.decode("é".encode("cp1252")) == "é" and formats.decode(b"\xef\xbb\xbfx") == "x"
     with pytest.raises(formats.ExtractionError):
         formats.extractor_for("application/unknown")
+
+
+def test_image_headers():
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4) + (480).to_bytes(4) + b"\x08\x02"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03"
+    tiff = b"II*\0\x08\0\0\0\x02\0" + b"\0\x01\x03\0\x01\0\0\0\x07\0\0\0" + b"\x01\x01\x04\0\x01\0\0\0\x09\0\0\0"
+    cases = [(png, "png", "640", "480"), (b"GIF89a\x05\0\x06\0", "gif", "5", "6"), (jpeg, "jpeg", "32", "16"), (tiff, "tiff", "7", "9"), (b"P5 # note\n12 34\n255\n", "pnm", "12", "34"), (b"BM" + b"\0" * 16 + (3).to_bytes(4, "little") + (-4).to_bytes(4, "little", signed=True), "bmp", "3", "4")]
+    for data, kind, w, h in cases:
+        m = formats.extract_bytes(data, "image/png").metadata
+        assert (m["format"], m["width"], m["height"]) == (kind, w, h)
+    for bad in (b"", b"text", b"\xff\xd8", b"\x89PNG\r\n\x1a\n", b"II*\0\xff\xff\xff\x7f"):
+        try:
+            formats.extract_bytes(bad, "image/jpeg")
+        except formats.ExtractionError:
+            pass
+
+
+def test_likeliest_encoding():
+    texts = {"cp1251": "Проверка документа показала новые данные", "shift_jis": "これはテストです。日本語の文章", "cp1252": "Les données résumées à l'été, déjà vérifiées", "gb18030": "这是一个测试文件，内容完整", "euc-kr": "이것은 시험 문서입니다"}
+    got = {name: formats.decode(t.encode(name)) for name, t in texts.items()}
+    assert got["cp1251"] == texts["cp1251"] and got["cp1252"] == texts["cp1252"] and got["shift_jis"] == texts["shift_jis"]
+    assert formats.decode(b"\xff\xfeh\0i\0") == "hi" and formats.decode("é".encode("latin-1"), "latin-1") == "é" and formats.decode(b"") == ""
+
+
+def test_extractor_choice(spark):
+    df = spark.createDataFrame([("text/csv; charset=x", 1), ("TEXT/unknown", 2), ("image/png", 3), ("video/mp4", 4), (None, 5)], "mime string, pattern int")
+    got = {r["mime_type"]: r["pattern"] for r in formats.extractor_choice(df, "mime").collect()}
+    assert got == {"text/csv": "text/csv", "text/unknown": "text/*", "image/png": "image/*", "video/mp4": None}
+
+
+def test_json_texts(spark):
+    df = spark.createDataFrame([(1, '{"title": "T", "n": [1, null, {"body": "x"}], "blank": " "}'), (2, "{bad"), (3, None)], "id bigint, json string")
+    got = {r["id"]: (r["content"], r["fields"]) for r in structured.json_texts(df, "id", "json").collect()}
+    assert got == {1: ("title: T\nn[0]: 1\nn[2].body: x", "title: T\nn[2].body: x"), 2: (None, None), 3: (None, None)}
