@@ -108,6 +108,21 @@ def _page_tables(s: SparkSession, d: str) -> DataFrame:
     return cells.select("doc_id", "row_no", F.array_join("row", "|").alias("row"))
 
 
+def _pooled(s: SparkSession, d: str) -> DataFrame:
+    """Mean of the embeddings of every second chunk of each extraction."""
+    c = read_table(s, d, "chunks").where("embedding IS NOT NULL").dropDuplicates(["chunk_id"]).select("extraction_id", "embedding", (F.col("chunk_id") % 2 == 0).cast("int").alias("m"))
+    lists = c.groupBy("extraction_id").agg(F.collect_list(F.struct("embedding", "m")).alias("c"))
+    pooled = embeddings.mean_pool(F.transform("c", lambda x: x["embedding"]), F.transform("c", lambda x: x["m"]))
+    return lists.select("extraction_id", pooled.alias("v")).select("extraction_id", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[63], 5).alias("last"))
+
+
+def _pages_with_tables(s: SparkSession, d: str) -> DataFrame:
+    t = read_table(s, d, "extraction_results").select(F.col("extraction_id").alias("id"), F.posexplode("tables").alias("no", "t"))
+    items = t.select("id", F.col("t.page_number").alias("page_number"), F.col("no").alias("item")).distinct()
+    pages = elements.document_pages(_extractions(s, d), "extraction_id", "content").select("id", "page_number")
+    return geometry.attach_to_pages(pages, items).select("id", "page_number", F.size("items").alias("n_tables"))
+
+
 def _json_texts(s: SparkSession, d: str) -> DataFrame:
     """Leaves and text fields of events as nested JSON."""
     v = F.struct("event_id", F.struct(F.col("event_type").alias("type"), F.col("value")).alias("info"), F.array(F.struct(F.col("user_id").cast("string").alias("label")), F.struct(F.lit(" ").alias("label"))).alias("users"))
@@ -242,13 +257,13 @@ def queries() -> dict[str, Query]:
         "chunk_fixed_window": lambda s, d: chunking.fixed_windows(_docs(s, d), "doc_id", "text"),
         "chunk_semantic": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text"),
         "chunk_markdown": lambda s, d: chunking.chunk(_docs(s, d), "doc_id", "text", chunking.ChunkConfig(kind="markdown")),
-        "chunk_json_sections": lambda s, d: chunking.chunk(read_table(s, d, "events"), "event_id", "props", chunking.ChunkConfig(kind="yaml")),
+        "chunk_json_sections": lambda s, d: chunking.chunk(read_table(s, d, "events"), "event_id", "props", chunking.ChunkConfig(kind="yaml")).select("id", "chunk_index", "total_chunks", "content", "chunk_type"),
         "chunk_classify": lambda s, d: spread(read_table(s, d, "chunks").select("chunk_id", "content")).select("chunk_id", classify.chunk_type(F.col("content")).alias("kind")).distinct(),
         "chunk_page_overlap": _chunk_pages,
         "document_pages": lambda s, d: elements.document_pages(_extractions(s, d), "extraction_id", "content"),
         "keywords_rake": lambda s, d: keywords.rake_phrases(_docs(s, d), "doc_id", "text", F.col("lang")),
         "keywords_yake": lambda s, d: keywords.keywords(_docs(s, d), "doc_id", "text"),
-        "language_detect": lambda s, d: _texts(s, d, languages=language.detect_languages),
+        "language_detect": lambda s, d: _texts(s, d, language=lambda t: F.try_element_at(language.detect_languages(t), F.lit(1))),
         "language_accuracy": _language_accuracy,
         "list_items": lambda s, d: elements.list_items(_docs(s, d), "doc_id", "text"),
         "elements": lambda s, d: elements.elements(_docs(s, d), "doc_id", "text"),
@@ -270,6 +285,10 @@ def queries() -> dict[str, Query]:
             "id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "numeric_f1", "quality")]
         ),
         "token_difference": lambda s, d: evaluate.token_difference(_chunked(s, d), _content_of_chunked(s, d), "extraction_id", "content"),
+        "pipeline_scores": lambda s, d: pipeline.run_pipeline(_docs(s, d), pipeline.ExtractionConfig(token_reduction="light")).select("id", "content", F.round("quality_score", 6).alias("score"), "reduced"),
+        "pooled_embeddings": _pooled,
+        "pages_with_tables": _pages_with_tables,
+        "page_dpi": lambda s, d: _boxes(s, d).where("box IS NOT NULL").groupBy("extraction_id", "page_number").agg(geometry.dpi_for(F.max("box.x1"), F.max("box.y1")).alias("dpi")),
         "heading_context": lambda s, d: elements.heading_context(_extractions(s, d), "extraction_id", "content"),
         "nearest_band": lambda s, d: geometry.nearest_band(_boxes(s, d).select("extraction_id", "page_number", "element_id", "box").distinct(), ["extraction_id", "page_number"], "element_id", F.col("box.x0")),
         "box_suppression": lambda s, d: geometry.suppress_boxes(_boxes(s, d), ["extraction_id", "page_number"], "element_id", F.col("box"), F.col("confidence.recognition"), 0.3),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliospark.functions.classify import DEFINITION, LATEX, MATH, MIME_TYPES, OPERATIVE, ROLES, SCHEDULE, SIGNATURE
-from foliospark.functions.quality import BREADCRUMB, NAVIGATION, PAGINATION
+from foliospark.functions.quality import BREADCRUMB, FUNCTION, ISOLATED, MALFORMED, NAVIGATION, PAGINATION, REPEATED, RULES, SCRIPT, STYLE, WIDE
 from foliospark.functions.stopwords import SHORT_CODES, stopwords
 from foliospark.sources.formats import REGISTRY
 
@@ -98,6 +98,7 @@ SELECT DISTINCT chunk_id, CASE WHEN content IS NULL THEN NULL
 
 _STOP = "[" + ", ".join(_q(w) for w in stopwords("en")) + "]"
 _LISTS = {c: "[" + ", ".join(_q(w) for w in stopwords(c)) + "]" for pair in SHORT_CODES.items() for c in pair}
+_NAMES = [*((k, long) for long, short in SHORT_CODES.items() for k in (long, short)), ("rus", "rus"), ("ru", "rus"), ("zho", "zho"), ("zh", "zho")]
 _CORE = "lower(regexp_replace(w, '[^\\p{L}]', '', 'g'))"
 _KEEP = f"(strlen(w) > 1 AND regexp_matches(w, '^[\\x00-\\x60\\x7B-\\x7F]+$') AND NOT regexp_matches(w, '[a-z]')) OR regexp_matches(w, '[0-9]') OR strlen({_CORE}) <= 1 OR NOT list_contains({_STOP}, {_CORE})"
 _LIGHT = _trim("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([!?.,])[!?.,]+', '\\1', 'g'), '<!--[^\\n]*?-->', '', 'g'), ' {2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
@@ -107,6 +108,33 @@ _DASH = f"coalesce(list_sum(list_transform(list_filter(string_split(text, chr(10
 _OCR_BYTES = f"CASE WHEN contains(text, '  ') OR contains(text, '...') THEN {_bytes('text', _OCR)} + {_DASH} ELSE 0 END"
 
 
+_SCORE = f"""CASE WHEN text IS NULL OR {_trim('text')} = '' THEN 0.0 WHEN strlen(text) < 10 THEN 0.1 ELSE round(least(1.0, greatest(0.0,
+ 1.0 - 0.3 * least(1.0, ({_OCR_BYTES}) / strlen(text)::DOUBLE) + 0.2 * ({_STRUCTURE}) / 10 - CASE WHEN strlen(text) > 1000 THEN 0.1 * {_NAV} ELSE 0.0 END)), 6) END"""
+
+
+def _clean() -> str:
+    out = "text"
+    for p in (SCRIPT, STYLE, FUNCTION, RULES):
+        out = f"regexp_replace({out}, {_q(p)}, ' ', 'g')"
+    out = rf"regexp_replace({out}, '\b([a-zA-Z])\s{{2,}}([a-zA-Z])\s{{2,}}([a-zA-Z])\b', '\1\2\3', 'g')"
+    out = f"array_to_string(list_transform(string_split({out}, chr(10)), lambda x: CASE WHEN regexp_matches(x, {_q(_LINE_FREE)}) THEN x ELSE regexp_replace(x, '-{{3,}}', '...', 'g') END), chr(10))"
+    for p, to in ((REPEATED, "..."), (ISOLATED, " "), (MALFORMED, " "), (WIDE, " "), (NAVIGATION, " "), (BREADCRUMB, " "), (PAGINATION, " ")):
+        out = f"regexp_replace({out}, {_q(p)}, {_q(to)}, 'g')"
+    return _trim(_SPACES.replace("text", out))
+
+
+#: white space normal
+_SPACES = r"""regexp_replace(regexp_replace(regexp_replace(text, '[ \t\f\r\x0B\x{00A0}\x{2000}-\x{200B}\x{3000}]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '\n +', chr(10), 'g')"""
+
+
+def _languages(where: str) -> str:
+    """The light detector: the best language of each text, or null."""
+    hits = [f"{{'score': len(list_filter(ws, lambda w: list_contains({_LISTS[short]}, w))) / greatest(len(ws), 1)::DOUBLE, 'code': {_q(code)}}}" for code, short in SHORT_CODES.items()]
+    hits += [f"{{'score': len(regexp_extract_all(text, '[{block}]')) / greatest(len(regexp_extract_all(text, '\\p{{L}}')), 1)::DOUBLE, 'code': '{code}'}}" for code, block in (("rus", "Ѐ-ӿ"), ("zho", "一-鿿"))]
+    return f"""(SELECT doc_id, lang, CASE WHEN s[1].score > 0.02 AND s[1].score / (s[1].score + s[2].score) >= 0.8 - 0.3 THEN s[1].code END AS found FROM (
+ SELECT doc_id, lang, list_sort([{', '.join(hits)}], 'DESC') AS s FROM (SELECT *, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS ws FROM documents {where})))"""
+
+
 def _member(j: str, name: str) -> str:
     """The first member that is not null whose key is ``name`` without case and separators."""
     keys = f"list_filter(json_keys({j}), lambda k: regexp_replace(lower(k), '[^a-z0-9]', '', 'g') = '{name}')"
@@ -157,8 +185,7 @@ def oracle_sql() -> dict[str, str]:
  SELECT doc_id, least(5.0, sum(-(n / total) * log2(n / total))) AS entropy FROM (SELECT doc_id, c, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS total
  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?s).')) AS c FROM documents) GROUP BY doc_id, c) GROUP BY doc_id) e ON d.doc_id = e.doc_id""",
         "quality_components": f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE {_OCR_BYTES} END AS ocr_bytes, CASE WHEN text IS NULL THEN NULL WHEN strlen(text) = 0 THEN 0.0 ELSE round({_NAV}, 6) END AS navigation, {_SENTENCES} AS sentences, {_PARAGRAPHS} AS paragraphs, {_STRUCTURE} AS structure FROM documents",
-        "quality_score": f"""SELECT doc_id, CASE WHEN text IS NULL OR {_trim('text')} = '' THEN 0.0 WHEN strlen(text) < 10 THEN 0.1 ELSE round(least(1.0, greatest(0.0,
- 1.0 - 0.3 * least(1.0, ({_OCR_BYTES}) / strlen(text)::DOUBLE) + 0.2 * ({_STRUCTURE}) / 10 - CASE WHEN strlen(text) > 1000 THEN 0.1 * {_NAV} ELSE 0.0 END)), 6) END AS score FROM documents""",
+        "quality_score": f"SELECT doc_id, {_SCORE} AS score FROM documents",
         "collapse_punctuation": "SELECT doc_id, regexp_replace(text, '([!?.,])[!?.,]+', '\\1', 'g') AS collapsed FROM documents",
         "reduce_light": f"SELECT doc_id, {_LIGHT} AS reduced FROM documents",
         "remove_stopwords": f"SELECT doc_id, array_to_string(list_filter(list_filter(string_split_regex(text, '{_B}+'), lambda w: w <> ''), lambda w: {_KEEP}), ' ') AS reduced FROM documents",
@@ -207,6 +234,17 @@ def oracle_sql() -> dict[str, str]:
  SELECT id, round(CASE WHEN x = 0 THEN CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END ELSE s / x::DOUBLE END, 6) AS precision, round(CASE WHEN y = 0 THEN CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END ELSE s / y::DOUBLE END, 6) AS recall,
  round({f1('s', 'x', 'y')}, 6) AS f1, round({f1('sn', 'xn', 'yn')}, 6) AS numeric_f1, round(CASE WHEN xn + yn = 0 THEN {f1('s', 'x', 'y')} ELSE 0.6 * ({f1('s', 'x', 'y')}) + 0.4 * ({f1('sn', 'xn', 'yn')}) END, 6) AS quality FROM t""",
         "token_difference": f"SELECT id, token, CASE WHEN y > x THEN 'missing' ELSE 'extra' END AS side, abs(x - y) AS n FROM ({_BOTH}) WHERE x <> y",
+        "clean_text": f"SELECT doc_id, {_clean()} AS clean FROM documents",
+        "language_detect": f"SELECT doc_id, found AS language FROM {_languages('')}",
+        "language_accuracy": f"""SELECT label, count(*) AS n, count(found) AS n_detected, CAST(sum(CAST(label = found AS INT)) AS BIGINT) AS n_right FROM (SELECT found, CASE code {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _NAMES)} END AS label
+ FROM (SELECT found, string_split_regex(lower(trim(lang)), '[-_]')[1] AS code FROM {_languages('')})) GROUP BY label""",
+        "chunk_json_sections": """SELECT event_id AS id, 0 AS chunk_index, 1 AS total_chunks, '# k' || chr(10) || chr(10) || json_extract_string(props, '$.k') AS content, 'heading' AS chunk_type FROM events WHERE trim(props) <> ''""",
+        "pipeline_scores": f"""SELECT id, text AS content, {_SCORE} AS score, {_LIGHT} AS reduced FROM (SELECT doc_id AS id, nfc_normalize(text) AS text FROM documents)""",
+        "pooled_embeddings": """SELECT extraction_id, round(coalesce(sum(CASE WHEN even THEN embedding[1] END), 0) / greatest(sum(CAST(even AS INT)), 1), 5) AS first, round(coalesce(sum(CASE WHEN even THEN embedding[64] END), 0) / greatest(sum(CAST(even AS INT)), 1), 5) AS last
+ FROM (SELECT extraction_id, chunk_id % 2 = 0 AS even, embedding FROM chunks WHERE embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id) = 1) GROUP BY extraction_id""",
+        "pages_with_tables": f"""SELECT p.id, p.page_number, CAST(count(t.page_number) AS INT) AS n_tables FROM {_PAGES} p LEFT JOIN (SELECT DISTINCT extraction_id, no, t.page_number AS page_number FROM (SELECT extraction_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS no FROM extraction_results)) t
+ ON t.extraction_id = p.id AND t.page_number = p.page_number GROUP BY 1, 2""",
+        "page_dpi": f"""SELECT extraction_id, page_number, CAST(greatest(72, least(300, floor(4096 / (greatest(max(x1), max(y1)) / 72.0)))) AS INT) AS dpi FROM {_BOXES} WHERE x0 IS NOT NULL GROUP BY 1, 2""",
         "heading_context": f"""WITH l AS (SELECT extraction_id AS id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM {_EXTRACTIONS}),
  f AS (SELECT *, sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY id ORDER BY line_no) AS fences FROM l),
  v AS (SELECT *, CASE WHEN fences % 2 = 0 AND NOT starts_with(line, '```') THEN nullif(length(regexp_extract(line, '^(#{{1,6}})[ \\t]+[^ \\t\\r]', 1)), 0) END AS level, trim(regexp_replace(line, '^#+[ \\t]+|\\r$', '', 'g')) AS title FROM f),
