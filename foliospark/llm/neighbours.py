@@ -181,12 +181,12 @@ class Vectors:
 def search(vectors: Vectors, k: int, queries: DataFrame | None = None, probes: int = 2, shard: int = SHARD, beam: int = 20, least: float = -2.0, degree: int = 20, building: int = 24) -> DataFrame:
     """The k most similar other nodes of every node (of those of ``queries``, with the column node): node, other, similarity.
 
-    Beam search of all parts of the shards of the ``probes`` nearest centres; similarities below ``least`` are left out.
+    Beam search of all parts of the shards of the ``probes`` nearest centres (of all, if 0); similarities below ``least`` are left out.
     """
     dim = vectors.dim
     centres = vectors.centres(shard)
     first, parts = vectors.parts(centres, shard)
-    asks_all = queries is None
+    asks_all, probes = queries is None, probes or len(centres)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -275,13 +275,14 @@ def close_pairs(vectors: Vectors, least: float = 0.85, k: int = 5, probes: int =
     return rows.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
-def most_similar(vectors: Vectors, queries: DataFrame, k: int = 10, probes: int = 8, shard: int = SHARD, beam: int = 64) -> DataFrame:
+def most_similar(vectors: Vectors, queries: DataFrame, k: int = 10, probes: int = 0, shard: int = SHARD, beam: int = 128) -> DataFrame:
     """The k most similar other ids of each query id: query_id, rank, neighbour_id, similarity.
 
-    ``queries`` has the column id. Ties go to the smaller id; a query whose vector is not usable has no rows.
+    ``queries`` has the column id. Every query searches the shards of its ``probes`` nearest centres, all shards if 0: where
+    vectors form no clusters, the nearest of a query lie in many shards. Ties go to the smaller id; a query whose vector is not usable has no rows.
     """
     asked = vectors.members.join(queries.select("id").distinct(), "id")
-    met = search(vectors, k + 1, asked, probes, shard, beam, degree=28, building=32)
+    met = search(vectors, k + 1, asked, probes, shard, beam, degree=32, building=40)
     out = _of_ids(vectors, met, asked, k)
     return out.select(F.col("x").alias("query_id"), F.col("r").alias("rank"), F.col("y").alias("neighbour_id"), "similarity")
 
