@@ -24,7 +24,9 @@ from foliospark.session import ship_package, stage
 #: Least length of a span, in code points.
 LENGTH = 300
 #: Anchors are hashes of this many characters; each window has one.
-GRAM = 128
+GRAM = 160
+#: Bits of the filter that goes before the join of texts with their shared anchors: 4 MB, however many texts there are.
+FILTER_BITS = 1 << 25
 #: Characters hashed at once.
 BATCH_CHARS = 400_000
 
@@ -79,6 +81,19 @@ def _window_rows(length: int):
     return run
 
 
+def _may_be_in(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows whose text_id may be among those of ``some``, by a bitmap of fixed size, so that few others are shuffled.
+
+    With far more texts than bits the filter lets nearly all through; it never loses one.
+    """
+    spot = F.pmod("text_id", F.lit(FILTER_BITS))
+    bits = some.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumn("bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "bucket")
+    return near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1).select(*docs.columns)
+
+
 class SharedSpans:
     """The operator over one table of texts.
 
@@ -102,9 +117,9 @@ class SharedSpans:
         many = F.min("text_id") != F.max("text_id")
         rows = stage(docs.select("text_id", "text").mapInPandas(_anchor_rows(length), "key bigint, text_id bigint"), "anchors")
         keys = rows.groupBy("key").agg(many.alias("many")).where("many").select("key")
-        lists = rows.join(keys, "key").groupBy("text_id").agg(F.collect_set("key").alias("keys"))
+        lists = stage(rows.join(keys, "key").groupBy("text_id").agg(F.collect_set("key").alias("keys")), "lists")
         #: texts that share an anchor, once each
-        self.texts = docs.select("text_id", "text").join(lists, "text_id").dropDuplicates(["text_id"])
+        self.texts = _may_be_in(docs.select("text_id", "text"), lists).join(lists, "text_id").dropDuplicates(["text_id"])
         wins = stage(self.texts.mapInPandas(_window_rows(length), "key bigint, half bigint, text_id bigint, pos int"), "windows")
         mark = F.xxhash64(F.lit(1), "text_id")  # sums of its halves, which cannot overflow
         sets = wins.groupBy("key", "half").agg(many.alias("many"), F.count("*").alias("n"), F.sum(F.shiftrightunsigned(mark, 32)).alias("x"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("y"))
