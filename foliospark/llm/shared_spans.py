@@ -25,8 +25,8 @@ from foliospark.session import ship_package, stage
 LENGTH = 300
 #: Anchors are hashes of this many characters; each window has one.
 GRAM = 160
-#: Bits of the filter that goes before the join of texts with their shared anchors: 4 MB, however many texts there are.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that goes before the join of texts with their shared anchors: 1 MB, however many texts there are.
+FILTER_BITS = 1 << 23
 #: Characters hashed at once.
 BATCH_CHARS = 400_000
 
