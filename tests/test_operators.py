@@ -29,8 +29,8 @@ def test_chunks(spark):
     rows = chunking.chunk(df, "doc_id", "text", chunking.ChunkConfig(30, 0, kind="markdown")).collect()
     assert {r["id"] for r in rows} == {0} and [r["chunk_index"] for r in rows] == list(range(len(rows)))
     assert rows[-1]["headings"][-1]["text"] == "B" and all(r["byte_end"] > r["byte_start"] for r in rows)
-    data = docs(spark, '{"server": {"host": "localhost", "port": 8080}, "db": {"name": "mydb"}}')
-    assert [r["content"] for r in chunking.chunk(data, "doc_id", "text", chunking.ChunkConfig(kind="yaml")).collect()] == ["# server > host\n\nlocalhost", "# server > port\n\n8080", "# db > name\n\nmydb"]
+    data = docs(spark, '{"oven": {"maker": "Brix", "watts": 940}, "shelf": {"label": "top"}}')
+    assert [r["content"] for r in chunking.chunk(data, "doc_id", "text", chunking.ChunkConfig(kind="yaml")).collect()] == ["# oven > maker\n\nBrix", "# oven > watts\n\n940", "# shelf > label\n\ntop"]
     assert chunking.fixed_windows(docs(spark, "abcdefghij", ""), "doc_id", "text", 4, 2).orderBy("chunk_index").agg(F.collect_list("content")).first()[0] == ["abcd", "cdef", "efgh", "ghij"]
     try:
         chunking.ChunkConfig(10, 10)
@@ -75,8 +75,8 @@ def test_tables(spark):
     assert tables.has_header(rows) and tables.column_types(rows, True) == ["numeric", "date", "text"]
     words = [{"text": w, "left": x, "top": y, "width": 40, "height": 20} for w, x, y in (("A", 10, 10), ("B", 200, 12), ("1", 12, 50), ("2", 205, 52))]
     assert tables.rebuild_grid(words) == [["A", "B"], ["1", "2"]]
-    tsv = spark.createDataFrame([("5\t1\t1\t1\t1\t1\t10\t20\t30\t40\t95.5\tHello\n4\t1\t1\t1\t1\t0\t0\t0\t0\t0\t-1\t",)], "t string")
-    assert tsv.select(tables.words_of_tsv(F.col("t"))).first()[0][0]["text"] == "Hello"
+    tsv = spark.createDataFrame([("5\t1\t1\t1\t1\t1\t10\t20\t30\t40\t95.5\tlantern\n4\t1\t1\t1\t1\t0\t0\t0\t0\t0\t-1\t",)], "t string")
+    assert tsv.select(tables.words_of_tsv(F.col("t"))).first()[0][0]["text"] == "lantern"
 
 
 def test_evaluation(spark):

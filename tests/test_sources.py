@@ -38,8 +38,8 @@ def test_structured():
     assert structured.schema_sketch({"a": [1]})["properties"]["a"] == {"type": "array", "length": 1, "items": {"type": "number"}}
     with pytest.raises(ValueError, match="line 3"):
         structured.json_lines('{"a": 1}\n\nbad')
-    outline, n, names = structured.xml_outline('<root xmlns="u"><item k="v">Hello</item><item>World</item></root>')
-    assert n == 3 and names == ["item", "root"] and outline == "root\n  item (k: v)\n    Hello\n\n  item\n    World"
+    outline, n, names = structured.xml_outline('<root xmlns="u"><item k="v">blue</item><item>green</item></root>')
+    assert n == 3 and names == ["item", "root"] and outline == "root\n  item (k: v)\n    blue\n\n  item\n    green"
     meta, rest = structured.front_matter("---\ntitle: X\n---\nbody")
     assert meta == {"title": "X"} and rest == "body" and structured.title_of({}, "# H\n") == "H"
 
@@ -48,7 +48,7 @@ def test_structured():
     ("mime", "data", "part"),
     [
         ("text/plain; charset=utf-8", "abc", "abc"), ("text/markdown", "---\ntitle: T\n---\n# H", "# H"), ("application/json", '{"title": "T"}', '"title": "T"'), ("application/x-yaml", "a: 1", "a: 1"),
-        ("application/toml", 'a = "x"', "a: x"), ("text/csv", "Name,Age\nA,30", "Name\tAge"), ("application/xml", "<a>t</a>", "t"), ("application/rtf", r"{\rtf1{\fonttbl x}Hello\par W\'f6rld}", "Hello\nWörld"),
+        ("application/toml", 'a = "x"', "a: x"), ("text/csv", "Tree,Height\nelm,30", "Tree\tHeight"), ("application/xml", "<a>t</a>", "t"), ("application/rtf", r"{\rtf1{\fonttbl x}Hello\par W\'f6rld}", "Hello\nWörld"),
         ("application/x-latex", r"\title{T}\begin{document}\section{S}\textbf{b} \begin{tabular}{ll}a & b\\c & d\end{tabular}\end{document}", "# S"), ("text/x-org", "#+TITLE: T\n* H\ntext", "# H"),
         ("text/x-rst", "Title\n=====\n\nx", "# Title"), ("application/x-bibtex", "@book{k,\n author = {A B and C D},\n year = {1999}\n}", "author: A B; C D"),
         ("application/x-research-info-systems", "TY  - BOOK\nTI  - T\nER  - \n", "TI: T"), ("text/x-opml", "<opml><head><title>T</title></head><body><outline text='a'><outline text='b'/></outline></body></opml>", "- a\n  - b"),
