@@ -116,7 +116,8 @@ def oversized_pieces(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     Columns: chunk_id, piece_no (from 0), char_start and char_end in the trimmed content, boundary, content. With
     trim_pieces the content of a piece has no white space at its ends (the offsets still count it). Null and blank
     contents, chunks within their limit and chunks without a configuration yield nothing. Repeated rows count once; a
-    null chunk_id is ignored. Limits below 1 or overlaps not below the limit count as limit 1 and as overlap limit - 1.
+    null chunk_id is ignored. Where the limit is below 1, or the overlap negative or not below the limit, the chunk stays whole in
+    one row whose boundary is ``error``; a null overlap is 0.
     """
     ship_package(chunks.sparkSession)
     conf = configs.groupBy("config_id").agg(F.max(F.struct("max_characters", "overlap", "trim_pieces")).alias("c")).select("config_id", "c.*")
@@ -128,8 +129,10 @@ def oversized_pieces(chunks: DataFrame, configs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for chunk, content, limit, overlap, trim in batch.itertuples(index=False):
-                limit = max(1, int(limit))
-                overlap = min(max(0, int(overlap or 0)), limit - 1)
+                limit, overlap = int(limit), 0 if pd.isna(overlap) else int(overlap)
+                if limit < 1 or not 0 <= overlap < limit:
+                    rows.append((chunk, 0, 0, len(content), "error", content))
+                    continue
                 for no, (a, b, kind) in enumerate(split(content, limit, overlap)):
                     rows.append((chunk, no, a, b, kind, content[a:b].strip(BLANK) if trim else content[a:b]))
             yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "char_start", "char_end", "boundary", "content"])
@@ -139,4 +142,4 @@ def oversized_pieces(chunks: DataFrame, configs: DataFrame) -> DataFrame:
 
 def found(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """chunk_id of every chunk that had to be split."""
-    return oversized_pieces(chunks, configs).where("piece_no = 1").select("chunk_id").distinct()
+    return oversized_pieces(chunks, configs).where("piece_no = 1 OR boundary = 'error'").select("chunk_id").distinct()

@@ -48,6 +48,8 @@ def test_split_prefers_topics(spark):
     assert sorted(r[0] for r in splitting.found(df, conf).collect()) == [1, 6, 7]
     out = splitting.oversized_pieces(df, conf).where("chunk_id = 1").collect()
     assert all(len(r["content"]) <= 100 for r in out)
+    wrong = splitting.oversized_pieces(df, conf).where("chunk_id = 6").collect()  # the overlap is not below the limit
+    assert [(r["boundary"], r["content"]) for r in wrong] == [("error", "abcdefgh")]
     assert splitting.found(df.limit(0), conf).count() == 0
 
 
