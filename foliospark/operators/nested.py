@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,7 @@ NODE_SCHEMA = (
 SLOTS = {"children": "entry", "chunks": "chunk", "tables": "table"}
 
 
+@lru_cache(maxsize=65_536)
 def _plain(key: str) -> str:
     """Key without case and separators, so that mimeType, mime_type and MIME-TYPE are one key."""
     return re.sub(r"[^a-z0-9]", "", key.lower())

@@ -311,7 +311,7 @@ def queries() -> dict[str, Query]:
         "element_overlap": _element_overlap,
         "corpus_cube": lambda s, d: _docs(s, d).cube("source", "mime_type").agg(F.grouping_id().alias("level"), F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars")),
         "pipeline_full": lambda s, d: pipeline.run_pipeline(_docs(s, d), full),
-        "p6_found": lambda s, d: nested.found(read_table(s, d, "archive_records")),
+        "p6_found": lambda s, d: nested.found(spread(read_table(s, d, "archive_records").select("archive_id", "payload"))),
         "p6_variants": lambda s, d: nested.variant_counts(nested.shred(read_table(s, d, "archive_records"))),
         "p6_subtypes": lambda s, d: nested.shred(read_table(s, d, "archive_records")).subtypes(),
         "p6_results": lambda s, d: _shredded(s, d).results.select(
